@@ -8,6 +8,7 @@ library whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -21,6 +22,7 @@ END_OF_TEXT = 50256
 _HAZARD = re.compile(r"\s\s|\s\Z")
 _BLANK = re.compile(r"\s")
 _NEWLINE = 198
+_CLOSING = ".,!?:;|$%&*#)"
 
 
 def default_tokenizer() -> str:
@@ -32,7 +34,7 @@ def default_tokenizer() -> str:
 class ChunkEncoder:
     """texts -> ids as little-endian bytes of ``dtype``; the cache holds at most ``entries`` chunks."""
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -44,7 +46,7 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
         byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         self.chunked = byte_level and self.tokenizer.encode("a\nb", add_special_tokens=False).ids[1:2] == [_NEWLINE]
-        self.entries, self.cache = entries, {}
+        self.entries, self.cache, self.marks = entries, {}, {}
 
     def raw(self, texts: Sequence[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
@@ -63,37 +65,74 @@ class ChunkEncoder:
                 start = end + 1
 
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        spaced = [w for w in missing if w and not _BLANK.search(w)]
-        lines = [w for w in missing if len(w) > 1 and w[0] == "\n" and not _BLANK.search(w, 1)]
-        found = dict(zip(spaced, self._joined(spaced, " ")))
+        """Ids of chunks that the cache lacks. A letter or digit before closing punctuation ends a piece as well, so
+        "word," is "word" and ","; most chunks that the cache lacks have a word that it holds."""
+        cache, found, ended, spaced, lines, rest = self.cache, {}, [], [], [], []
+        for w in missing:
+            core = w.rstrip(_CLOSING)
+            if core is not w and len(core) < len(w):
+                if core and core[-1].isalnum():
+                    ended.append((w, core))
+                    if core in cache or core in found:
+                        continue
+                    found[core] = b""
+                    w = core
+            if w[:1] == "\n":
+                (lines if len(w) > 1 and not _BLANK.search(w, 1) else rest).append(w)
+            elif w and not _BLANK.search(w):
+                spaced.append(w)
+            else:
+                rest.append(w)
         newline = np.asarray([_NEWLINE], self.dtype).tobytes()
-        found.update(zip(lines, (newline + x for x in self._joined([w[1:] for w in lines], ""))))
-        rest = [w for w in missing if w not in found]
+        found.update(zip(spaced, self._joined(spaced, " ")))
+        found.update(zip(lines, [newline + x for x in self._joined([w[1:] for w in lines], "")]))
         found.update(zip(rest, self.raw([w if w[:1] == "\n" else " " + w for w in rest])))
+        for w, core in ended:
+            mark = w[len(core) :]
+            if mark not in self.marks:
+                self.marks[mark] = self.raw([mark])[0]
+                if len(self.marks) > 10_000:
+                    self.marks = {mark: self.marks[mark]}
+            found[w] = (cache.get(core) or found[core]) + self.marks[mark]
         return found
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Nulls count as empty texts."""
+        collecting = gc.isenabled()
+        gc.disable()  # the many short-lived lists would make it walk the cache again and again
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: Sequence[str | None]) -> list[bytes]:
         if not self.chunked:
             return self.raw([t or "" for t in texts])
-        out, whole, parts, heads = [b""] * len(texts), [], {}, []
+        out, whole, heads, todo, missing = [b""] * len(texts), [], [], [], {}
+        known = self.cache.get
         for i, text in enumerate(texts):
-            if text and _HAZARD.search(text):
+            if not text:
+                continue
+            if _HAZARD.search(text):
                 whole.append(i)
-            elif text:
-                parts[i] = text.replace("\n", " \n").split(" ")
-                heads.append(parts[i].pop(0))
-        cache, missing = self.cache, set()
-        for words in parts.values():
-            missing.update(words)
-        missing = [w for w in missing if w not in cache]
-        found = self._learn(missing)
-        cache.update(found)
-        for (i, words), head in zip(parts.items(), self.raw(heads)):
-            out[i] = head + b"".join([cache[w] for w in words])
-        if len(cache) > self.entries:  # the first chunks seen are the frequent ones: they stay
-            for w in found:
-                del cache[w]
+                continue
+            words = text.replace("\n", " \n").split(" ")
+            heads.append(words[0])
+            words[0] = ""
+            ids = list(map(known, words))
+            gaps = [j for j, x in enumerate(ids) if x is None] if None in ids else []
+            gaps = [(j, words[j]) for j in gaps if j]
+            missing.update([(w, None) for _, w in gaps])
+            todo.append((i, ids, gaps))
+        found = self._learn(list(missing))
+        for (i, ids, gaps), head in zip(todo, self.raw(heads)):
+            ids[0] = head
+            for j, w in gaps:
+                ids[j] = found[w]
+            out[i] = b"".join(ids)
+        if len(self.cache) + len(found) <= self.entries:  # the first chunks seen are the frequent ones: they stay
+            self.cache.update(found)
         for a in range(0, len(whole), 64):
             for i, ids in zip(whole[a : a + 64], self.raw([texts[i] for i in whole[a : a + 64]])):
                 out[i] = ids
@@ -110,7 +149,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def pieces_of(batches: Iterable[pa.RecordBatch], texts_at: int, budget: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def pieces_of(batches: Iterable[pa.RecordBatch], texts_at: int, budget: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has about ``budget`` bytes of text at most (single long texts stay whole)."""
     for batch in batches:
         column = batch.column(texts_at)
