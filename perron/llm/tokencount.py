@@ -122,4 +122,4 @@ def count_documents(docs: DataFrame, *, tokenizer: str | None = None, block_toke
     path = tokenizer or tk.default_tokenizer()
     notes = write_flat(docs, folder, tokenizer=path)
     counts = count_tokens(spark, folder, dtype=tk.encoder(path).dtype.str, block_tokens=block_tokens)
-    return notes.join(counts, ["file", "n"]).select("doc_id", "n_tokens", "file", "start")
+    return notes.join(counts.hint("merge"), ["file", "n"]).select("doc_id", "n_tokens", "file", "start")
