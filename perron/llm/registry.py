@@ -20,6 +20,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import TARGETS, label_domains, mix
+
+    found = mix(_table(spark, sf_dir, "documents"), label_domains(_table(spark, sf_dir, "labels")), TARGETS, max_rate=2.0)
+    return found.drop("text_hash")
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pack import pack_documents
 
@@ -49,6 +62,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_quality": op3_quality,
+    "op6_mixing": op6_mixing,
     "op7_pack": op7_pack,
     "op8_token_file": op8_token_file,
     "op9_line_dedup": op9_line_dedup,
