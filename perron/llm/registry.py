@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup
+from . import chat, linededup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations
+
+    return format_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import TARGETS, label_domains, mix
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest": op2_nearest,
     "op3_quality": op3_quality,
     "op4_top_k": op4_top_k,
+    "op5_chat": op5_chat,
     "op6_mixing": op6_mixing,
     "op7_pack": op7_pack,
     "op8_token_file": op8_token_file,
@@ -84,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_chat": chat.SQL, "op9_line_dedup": linededup.SQL}
