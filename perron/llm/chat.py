@@ -1,8 +1,8 @@
 """Op 5: link tool calls with their results, order them, validate arguments, serialise. DataFrame functions only.
 
 Calls and results meet in a hash join on the call's identifier. A call may name calls that it comes after; levels of the
-topological order are found by rounds of joins, as many as the longest chain, each written to the shared folder. Arguments
-are parsed as variants and held against the schema of their tool. Every record is one line of canonical JSON: keys in
+topological order are found by doubling jumps along runs of calls and rounds of joins where calls come after several, each
+written to the shared folder. Arguments are parsed as variants and held against the schema of their tool. Every record is one line of canonical JSON: keys in
 order, no spaces, nulls kept. Records stay rows, so a conversation of any size never gathers in one task.
 """
 
@@ -67,27 +67,42 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 def topological(calls: DataFrame) -> DataFrame:
     """``calls`` (call_id, after array of call ids, ...) with level: 0 for calls that come after none, else 1 more than
     the largest level among those they come after. Unknown ids do not hold a call back; calls on or behind a cycle have
-    a null level."""
+    a null level.
+
+    Runs of calls that come after one call each are passed over by doubling jumps, in rounds of the logarithm of the
+    longest run; rounds of joins remain only for calls that come after several.
+    """
     spark = calls.sparkSession
     ids = calls.select("call_id")
     wanted = calls.select("call_id", F.explode(F.array_distinct("after")).alias("parent")).where("parent is not null")
-    open_edges = shared.written(wanted.join(ids.withColumnRenamed("call_id", "parent"), "parent", "left_semi"), "call-edges")
-    done = shared.written(ids.join(open_edges.select("call_id"), "call_id", "left_anti").withColumn("level", F.lit(0)), "call-levels")
-    tables, fresh, level = [done], done, 0
-    while True:
-        level += 1
-        left = shared.written(open_edges.join(fresh.withColumnRenamed("call_id", "parent").select("parent"), "parent", "left_anti"), "call-edges")
-        freed = open_edges.select("call_id").distinct().join(left.select("call_id"), "call_id", "left_anti")
-        fresh = shared.written(freed.withColumn("level", F.lit(level)), "call-levels")
-        shared.discard(spark, open_edges)
-        open_edges = left
-        if not fresh.limit(1).count():
+    edges = shared.written(wanted.join(ids.withColumnRenamed("call_id", "parent"), "parent", "left_semi").select("call_id", "parent"), "call-edges")
+    degree = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("parent").alias("up"))
+    jumps = shared.written(degree.where("n = 1").select("call_id", "up", F.lit(1).alias("far")), "call-jumps")
+    for _ in range(max(1, jumps.count()).bit_length() + 1):
+        over = jumps.select(F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
+        if not jumps.join(over, "up", "left_semi").limit(1).count():
             break
-        tables.append(fresh)
-    levels = tables[0]
-    for t in tables[1:]:
-        levels = levels.unionByName(t)
-    return calls.join(levels, "call_id", "left")
+        both = jumps.join(over, "up", "left")
+        further = shared.written(both.select("call_id", F.coalesce("up2", "up").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far")), "call-jumps")
+        shared.discard(spark, jumps)
+        jumps = further
+    # what still points into a run never leaves it: a cycle
+    known = ids.join(degree.select("call_id"), "call_id", "left_anti").withColumn("level", F.lit(0))
+    several = degree.where("n > 1").select("call_id")
+    if several.limit(1).count():
+        by = jumps.select(F.col("call_id").alias("parent"), "up", "far")
+        held = edges.join(several, "call_id", "left_semi").join(by, "parent", "left")
+        held = shared.written(held.select("call_id", F.coalesce("up", "parent").alias("up"), (F.coalesce("far", F.lit(0)) + 1).alias("far")), "call-held")
+        known = shared.written(known, "call-levels")
+        while True:
+            waiting = held.join(known.select("call_id"), "call_id", "left_anti").join(known.select(F.col("call_id").alias("up"), "level"), "up", "left")
+            freed = waiting.groupBy("call_id").agg(F.max(F.col("level") + F.col("far")).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0").select("call_id", "level")
+            freed = shared.written(freed, "call-levels")
+            if not freed.limit(1).count():
+                break
+            known = known.unionByName(freed)
+    after_one = jumps.join(known.select(F.col("call_id").alias("up"), "level"), "up").select("call_id", (F.col("level") + F.col("far")).alias("level"))
+    return calls.join(known.unionByName(after_one), "call_id", "left")
 
 
 def link(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
