@@ -105,14 +105,19 @@ def temper(aside: DataFrame, weights: DataFrame, priors: list[float], names: lis
 
 
 def rate_of(k: int, steps: list[np.ndarray], max_rate: float | None) -> Column:
-    """The rate after the given steps, from 1 on: each subtracts p . g and projects to 0..max_rate."""
-    rate = F.lit(1.0)
-    for g in steps:
-        rate = rate - sum([F.col(f"p{i}") * float(g[i]) for i in range(1, k)], F.col("p0") * float(g[0]))
-        rate = F.greatest(rate, F.lit(0.0))
-        if max_rate is not None:
-            rate = F.least(rate, F.lit(float(max_rate)))
-    return rate
+    """The rate after the given steps, from 1 on: each subtracts p . g and projects to 0..max_rate.
+
+    A fold over a literal array: its code stays small however many steps there are.
+    """
+    if not steps:
+        return F.lit(1.0)
+
+    def step(rate: Column, g: Column) -> Column:
+        moved = rate - sum([F.col(f"p{i}") * g[i] for i in range(1, k)], F.col("p0") * g[0])
+        moved = F.greatest(moved, F.lit(0.0))
+        return moved if max_rate is None else F.least(moved, F.lit(float(max_rate)))
+
+    return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps]), F.lit(1.0), step)
 
 
 def mix(
