@@ -1,7 +1,7 @@
 """Op 6: mix documents to target weights by soft membership. DataFrame functions only on executors.
 
-A naive Bayes classifier over hashed words (and their last two characters) learns domains from a labelled table; its
-weights have ``BUCKETS`` rows whatever the input, so they may be broadcast. Posteriors are tempered on labelled rows that
+A naive Bayes classifier over words (and their last two characters) by hash learns domains from a labelled table; only
+features that deviate tellingly have weights, and those are broadcast if they are few. Posteriors are tempered on labelled rows that
 the weights have not seen. Rates r >= 0 then fit E_k = sum_d r_d n_d p_dk to the targets T_k in least squares by projected
 gradient, each gradient scaled by the second moments of the rows that the bounds leave free: r <- P(r - p . M^-1 (E - T)).
 A step needs the K totals and K^2 moments of one aggregation, and as a rate is a function of the posterior and the
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-BUCKETS = 1 << 18
-#: Least deviation of a bucket from its expected count, in standard deviations, that gives it weights.
-TELLING = 4.0
+#: Largest table of weights that is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: Least deviation of a feature from its expected count, in standard deviations, that gives it weights.
+TELLING = 6.0
 BLANK = r"[ \t\n\x0b\x0c\r]+"
 
 
@@ -33,10 +34,10 @@ def words_of(text: Column) -> Column:
 
 
 def features(docs: DataFrame, keys: list[str], text_column: str) -> DataFrame:
-    """A row for each distinct feature of a row of ``docs``: the keys, n_tokens and the feature's bucket b.
+    """A row for each distinct feature of a row of ``docs``: the keys, n_tokens and the feature's hash b.
 
     Features are the words, their last two characters, and the share of distinct words in eighths, each present once.
-    A text without words has one row with a null bucket.
+    A text without words has one row with a null hash.
     """
     counted = docs.select(*keys, words_of(F.col(text_column)).alias("words"))
     held = counted.select(*keys, F.size("words").cast("long").alias("n_tokens"), F.array_distinct("words").alias("words"))
@@ -44,11 +45,11 @@ def features(docs: DataFrame, keys: list[str], text_column: str) -> DataFrame:
     variety = F.concat(F.lit("\x01"), F.floor(F.size("words") * 8 / F.greatest("n_tokens", F.lit(1))).cast("string"))
     bag = held.select(*keys, "n_tokens", F.when(F.col("n_tokens") > 0, F.concat("words", ends, F.array(variety))).alias("bag"))
     each = bag.select(*keys, "n_tokens", F.explode_outer("bag").alias("w"))
-    return each.select(*keys, "n_tokens", F.when(F.col("w").isNotNull(), F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")).alias("b"))
+    return each.select(*keys, "n_tokens", F.when(F.col("w").isNotNull(), F.xxhash64("w")).alias("b"))
 
 
 def learn(docs: DataFrame, domains: DataFrame, names: list[str], *, sample: int, text_column: str, smooth: float = 5.0) -> tuple[DataFrame, list[float], DataFrame]:
-    """Weights by bucket, log priors, and the labelled rows set aside for tempering.
+    """Weights by feature, log priors, and the labelled rows set aside for tempering.
 
     ``domains`` is (doc_id, domain). At most about ``sample`` labelled ids are used, chosen by a hash of the id.
     """
@@ -57,7 +58,9 @@ def learn(docs: DataFrame, domains: DataFrame, names: list[str], *, sample: int,
     share = min(1.0, sample / max(n, 1))
     spot = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1_000_000)) / 1e6
     chosen = docs.select("doc_id", F.col(text_column).alias("text")).join(known.where(spot("sample") < share), "doc_id")
-    chosen = shared.written(chosen.withColumn("aside", spot("aside") < 0.25), "labelled")
+    # a text that many documents copy counts once, else all its words would tell of its domain
+    once = chosen.groupBy(F.xxhash64("text").alias("h"), "domain").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.doc_id", "d.text", "domain")
+    chosen = shared.written(once.withColumn("aside", spot("aside") < 0.25), "labelled")
     fit = chosen.where(~F.col("aside"))
     totals = {r.domain: r.n for r in fit.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     count = sum(totals.values())
@@ -68,18 +71,19 @@ def learn(docs: DataFrame, domains: DataFrame, names: list[str], *, sample: int,
     sums = table.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0.0)).alias(f"c{i}") for i in range(len(names))]).first()
     every = max(sum(sums), 1.0)
     whole = sum([F.col(f"c{i}") for i in range(1, len(names))], F.col("c0"))
-    # observed against expected documents, both raised by ``smooth``; only buckets that deviate tellingly get weights,
+    # observed against expected documents, both raised by ``smooth``; only features that deviate tellingly get weights,
     # else the small deviations of a text's many rare words would drown its few telling ones
     expected = [whole * (x / every) for x in sums]
     telling = [F.abs(F.col(f"c{i}") - e) / F.sqrt(e + 1.0) > TELLING for i, e in enumerate(expected)]
     weight = [F.log((F.col(f"c{i}") + smooth) / (e + smooth)) for i, e in enumerate(expected)]
-    chosen_buckets = table.where(functools.reduce(operator.or_, telling)).select("b", *[w.alias(f"w{i}") for i, w in enumerate(weight)])
-    return shared.written(chosen_buckets, "domain-weights"), priors, chosen.where("aside")
+    telling_features = table.where(functools.reduce(operator.or_, telling)).select("b", *[w.alias(f"w{i}") for i, w in enumerate(weight)])
+    return shared.written(telling_features, "domain-weights"), priors, chosen.where("aside")
 
 
 def evidence(docs: DataFrame, weights: DataFrame, keys: list[str], k: int, text_column: str) -> DataFrame:
     """keys, n_tokens, f (features) and the summed log-ratios l0..: one row for each distinct ``keys``."""
-    each = features(docs, keys, text_column).join(F.broadcast(weights), "b", "left")
+    few = weights.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    each = features(docs, keys, text_column).join(F.broadcast(weights) if few else weights, "b", "left")
     return each.groupBy(*keys, "n_tokens").agg(F.count("b").alias("f"), *[F.sum(F.coalesce(F.col(f"w{i}"), F.lit(0.0))).alias(f"l{i}") for i in range(k)])
 
 
