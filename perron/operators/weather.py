@@ -9,6 +9,7 @@ from ..constants import ALL_TIERS, DEFAULT_STATION, OWN_TIERS, REACH_HOURS, WEAT
 from ..functions.geo import haversine_atan2
 
 STATION_LIMIT = 1_000
+HOURLY_FROM = 169
 
 
 def nearest_station(places: DataFrame, stations: DataFrame, max_km: float = 50.0) -> DataFrame:
@@ -81,16 +82,22 @@ def resolve_grid(observed: DataFrame, stations: DataFrame, first_hour: int, last
     seen = observed.select("station", "h", F.col("h").alias("at"))
     w = Window.partitionBy("station").orderBy("h")
     base = hours.join(seen, ["station", "h"], "left").withColumns(
-        {"past": F.max("at").over(w.rangeBetween(-REACH_HOURS, -1)), "next": F.min("at").over(w.rangeBetween(1, REACH_HOURS))}
+        {
+            "past": F.max("at").over(w.rangeBetween(-REACH_HOURS, -1)),
+            "next": F.min("at").over(w.rangeBetween(1, REACH_HOURS)),
+            "far_past": F.max("at").over(w.rangeBetween(-REACH_HOURS, -HOURLY_FROM)),
+            "far_next": F.min("at").over(w.rangeBetween(HOURLY_FROM, REACH_HOURS)),
+        }
     )
     own = base.join(tiers(OWN_TIERS), ["station", "h"], "left").join(tiers(ALL_TIERS).withColumnRenamed("tier", "wide"), ["station", "h"], "left")
-    back, ahead = F.col("past") - F.col("h"), F.col("next") - F.col("h")
-    near = F.when(back.isNull() | (ahead <= -back), ahead).otherwise(back)
+    nearer = lambda back, ahead: F.when(back.isNull() | (ahead <= -back), ahead).otherwise(back)
+    near = nearer(F.col("past") - F.col("h"), F.col("next") - F.col("h"))
+    # among all stations, hours are only tried one by one from HOURLY_FROM on
+    hourly = nearer(F.col("far_past") - F.col("h"), F.col("far_next") - F.col("h"))
     own = own.join(F.broadcast(stations), "station").withColumn("own", F.coalesce("tier", near))
-    hourly = F.when(F.abs(near) > 168, near)
     some = own.groupBy("h").agg(
         F.min(F.when(F.col("wide").isNotNull(), F.struct(F.abs("wide").alias("d"), "ordinal", F.col("wide").alias("offset"), "station"))).alias("by_tier"),
-        F.min(F.when(F.coalesce("wide", hourly).isNotNull(), F.struct("ordinal", F.when(F.col("wide").isNull(), F.struct(F.abs(near).alias("d"), "ordinal", near.alias("offset"), "station")).alias("x")))).alias("first"),
+        F.min(F.when(F.coalesce("wide", hourly).isNotNull(), F.struct("ordinal", F.when(F.col("wide").isNull(), F.struct(F.abs(hourly).alias("d"), "ordinal", hourly.alias("offset"), "station")).alias("x")))).alias("first"),
     )
     best = F.least(F.col("by_tier"), F.col("first.x"))
     out = own.join(some.select("h", best.alias("any")), "h", "left")
