@@ -39,7 +39,7 @@ def r(c, n=6):
 @query(
     f"""WITH {A.PUNCTUALITY} SELECT event_id, """
     + ", ".join(
-        f"CAST(round({f}(({v}) * 2.0 * pi() / {n}), 4) AS DOUBLE) AS {name}_{f}"
+        f"CAST(round({f}(({v}) * 2.0 * pi() / {n}), 4) AS DOUBLE) + 0.0 AS {name}_{f}"
         for name, v, n in (("heure_prevue", "hour(datetime) + minute(datetime) / 60.0", 24), ("jour_semaine", "isodow(datetime) % 7", 7), ("mois", "month(datetime) - 1", 12))
         for f in ("sin", "cos")
     )
@@ -318,7 +318,7 @@ h AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY stat
 _COLUMNS = ["temperature", "precipitations", "vent_vitesse", "vent_pointe", "humidite", "nebulosite"]
 
 
-@query(f"WITH {_EXPANDED} SELECT station, date, CAST(hr AS INTEGER) AS hour, round(temperature, 3) AS temperature, round(nebulosite, 3) AS nebulosite FROM h")
+@query(f"WITH {_EXPANDED} SELECT station, date, CAST(hr AS INTEGER) AS hour, round(temperature, 3) + 0.0 AS temperature, round(nebulosite, 3) AS nebulosite FROM h")
 def weather_hour_expand(spark, sf):
     h = weather.expand_hours(A.observations(spark, sf), _COLUMNS)
     return h.select("station", "date", F.col("hour").cast("int").alias("hour"), r("temperature", 3).alias("temperature"), r("nebulosite", 3).alias("nebulosite"))
@@ -329,8 +329,8 @@ def _weather_sql() -> str:
     return f"""WITH {A.PUNCTUALITY}, {_EXPANDED}, v AS (SELECT event_id, {", ".join(f"{e} AS {n}" for n, e in v.items())}, coalesce(c.temperature, e.temperature, 10.0) AS before
   FROM (SELECT event_id, d, hour, CAST(train % 33 AS VARCHAR) AS station FROM p) q LEFT JOIN h a ON a.station = q.station AND a.date = q.d AND a.hr = q.hour LEFT JOIN h b ON b.station = '3' AND b.date = q.d AND b.hr = q.hour
   LEFT JOIN h c ON c.station = q.station AND c.date = q.d - 1 AND c.hr = q.hour LEFT JOIN h e ON e.station = '3' AND e.date = q.d - 1 AND e.hr = q.hour)
-SELECT event_id, round(temperature, 1) AS meteo_temperature, round(precipitations, 1) AS meteo_precipitations, round(vent_vitesse, 1) AS meteo_vent_vitesse,
-  CASE WHEN vent_pointe > 25 OR vent_vitesse > 20 OR precipitations > 10 OR temperature < -5 OR temperature > 35 OR (nebulosite >= 8 AND humidite >= 95) THEN 1 ELSE 0 END AS meteo_conditions_extremes, round(before, 1) AS meteo_observee_j_1 FROM v"""
+SELECT event_id, round(temperature, 1) + 0.0 AS meteo_temperature, round(precipitations, 1) AS meteo_precipitations, round(vent_vitesse, 1) AS meteo_vent_vitesse,
+  CASE WHEN vent_pointe > 25 OR vent_vitesse > 20 OR precipitations > 10 OR temperature < -5 OR temperature > 35 OR (nebulosite >= 8 AND humidite >= 95) THEN 1 ELSE 0 END AS meteo_conditions_extremes, round(before, 1) + 0.0 AS meteo_observee_j_1 FROM v"""
 
 
 @query(_weather_sql())
