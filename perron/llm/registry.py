@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup
+from . import chat, linededup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_chat": chat.SQL, "op9_line_dedup": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_top_k": topk.SQL, "op5_chat": chat.SQL, "op9_line_dedup": linededup.SQL}
