@@ -294,33 +294,55 @@ def search(graph: DataFrame, queries: DataFrame, width: int, s: Settings) -> Dat
     return beams
 
 
+def copies(exact: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal vectors, by two hashes: their members as (id, rep, n), and each group's ``keep`` smallest ids as (rep, vec_id).
+
+    rep is the smallest id of a group. Rows are narrow, groups are counted map-side, and the window limits them map-side.
+    """
+    keyed = exact.select("id", F.xxhash64("x").alias("a"), F.xxhash64(F.lit(1), "x").alias("b"))
+    groups = keyed.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))
+    first = keyed.withColumn("place", place).where(F.col("place") <= keep).join(groups, ["a", "b"])
+    return keyed.join(groups, ["a", "b"]).select("id", "rep", "n"), first.select("rep", F.col("id").alias("vec_id"))
+
+
 def nearest(df: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, k: int = 20, settings: Settings = Settings()) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` found with the largest inner products for each id divisible by ``every``.
 
     score is the inner product of the original vectors in double precision; equal scores go by the smaller id. A query
-    is no candidate for itself. Vectors of fewer components than the widest are filled with zeros. What takes no part is
-    stated in ``vectors.usable``; fewer candidates than ``k`` give fewer rows, an empty table none.
+    is no candidate for itself. The graph holds each distinct vector once, so a group of copies neither fills the lists of
+    its neighbours nor hides behind itself; what is found stands for all its copies, of which k + 1 can matter. Vectors
+    of fewer components than the widest are filled with zeros. What takes no part is stated in ``vectors.usable``; fewer
+    candidates than ``k`` give fewer rows, an empty table none.
     """
     spark = df.sparkSession
     exact = shared.written(usable(df, id_column, vector_column, zero=False), "vectors")
     width = exact.agg(F.max(F.size("x"))).first()[0] or 1
+    member, first = (shared.written(t, "copies") for t in copies(exact, k + 1))
+    late = member.where("n > 1 and id <> rep").select("id")
+    single = shared.written(exact.join(late, "id", "left_anti"), "distinct-vectors")
 
     def pack(batches):
         for b in batches:
             code, scale = encode(matrix(b.column("x"), width))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale)], ["id", "code", "scale"])
 
-    vectors = exact.mapInArrow(pack, "id long, code binary, scale float")
+    vectors = single.mapInArrow(pack, "id long, code binary, scale float")
     graph = build(vectors, width, settings)
-    beams = search(graph, exact.where(F.col("id") % every == 0).select("id"), width, settings)
-    pairs = beams.select(F.col("q").alias("query_id"), F.explode(F.slice("nbr", 1, settings.rerank)).alias("vec_id"))
-    pairs = pairs.join(exact.select(F.col("id").alias("vec_id"), F.col("x").alias("vx")), "vec_id").join(exact.select(F.col("id").alias("query_id"), F.col("x").alias("qx")), "query_id")
+    asked = member.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("rep").alias("q"))
+    beams = search(graph, asked.select(F.col("q").alias("id")).distinct(), width, settings)
+    pairs = beams.select("q", F.explode(F.concat(F.slice("nbr", 1, settings.rerank), F.array("q"))).alias("rep"))
+    pairs = pairs.join(single.select(F.col("id").alias("rep"), F.col("x").alias("vx")), "rep").join(single.select(F.col("id").alias("q"), F.col("x").alias("qx")), "q")
 
     def score(batches):
         for b in batches:
             v, q = matrix(b.column("vx"), width), matrix(b.column("qx"), width)
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(np.einsum("ij,ij->i", v, q))], ["query_id", "vec_id", "score"])
-
-    scored = pairs.mapInArrow(score, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("rep"), pa.array(np.einsum("ij,ij->i", v, q))], ["q", "rep", "score"])
+
+    scored = pairs.select("q", "rep", "vx", "qx").mapInArrow(score, "q long, rep long, score double")
+    order = lambda key, name: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), name))
+    leading = scored.withColumn("rank", order("q", "rep")).where(F.col("rank") <= k + 1).drop("rank")
+    each = leading.join(first, "rep").withColumn("rank", order("q", "vec_id")).where(F.col("rank") <= k + 1)
+    found = each.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("found"))
+    others = asked.join(found, "q").select("query_id", F.slice(F.filter("found", lambda v: v["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+    return others.select("query_id", F.posexplode("found").alias("at", "v")).select("query_id", (F.col("at") + 1).alias("rank"), "v.vec_id", "v.score")

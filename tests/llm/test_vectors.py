@@ -89,3 +89,23 @@ def test_nearest_of_odd_rows(spark, odd_vectors):
     assert ann.nearest(odd_vectors.limit(0)).collect() == []
     few = ann.nearest(odd_vectors.where("vec_id in (100, 101, 405)")).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(100, 1, 101)]
+
+
+def test_nearest_with_a_hot_group_of_copies(spark):
+    """A third of all rows hold one vector, some others two or three: ids must be those of the smallest, not of any, copies."""
+    x = rows(2400, 16, seed=5)
+    x[np.random.default_rng(2).choice(2400, 800, replace=False)] = x[7]
+    x[1000:1040:2] = x[1001:1041:2]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    got = {(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df).collect()}
+    want = slow(np.arange(2400), x.astype(float), 20, 20)
+    assert len(got) == len(want)
+    assert len(got & {w[:3] for w in want}) / len(want) >= 0.95
+    hot = {q for q in range(0, 2400, 20) if (x[q] == x[7]).all()}
+    assert hot and {g for g in got if g[0] in hot} == {w[:3] for w in want if w[0] in hot}
+
+
+def test_nearest_among_copies_only(spark):
+    df = spark.createDataFrame([(i, [1.0, -2.0], 0) for i in range(50)], SCHEMA)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df).collect())
+    assert got == sorted((q, n + 1, v, 5.0) for q in (0, 20, 40) for n, v in enumerate([v for v in range(50) if v != q][:20]))
