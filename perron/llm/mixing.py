@@ -1,8 +1,8 @@
 """Op 6: mix documents to target weights by soft membership. DataFrame functions only on executors.
 
 A naive Bayes classifier over words (and their last two characters) by hash learns domains from a labelled table; only
-features that deviate tellingly have weights, and those are broadcast if they are few. Posteriors are tempered on labelled rows that
-the weights have not seen. Rates r >= 0 then fit E_k = sum_d r_d n_d p_dk to the targets T_k in least squares by projected
+features that deviate tellingly have weights, and those are broadcast if they are few. Posteriors are tempered on labelled
+rows that the weights have not seen, and so is what a text without such features owes to the likeliest domain. Rates r >= 0 then fit E_k = sum_d r_d n_d p_dk to the targets T_k in least squares by projected
 gradient, each gradient scaled by the second moments of the rows that the bounds leave free: r <- P(r - p . M^-1 (E - T)).
 A step needs the K totals and K^2 moments of one aggregation, and as a rate is a function of the posterior and the
 K-vectors of the steps so far, no state is written between steps.
@@ -87,25 +87,33 @@ def evidence(docs: DataFrame, weights: DataFrame, keys: list[str], k: int, text_
     return each.groupBy(*keys, "n_tokens").agg(F.count("b").alias("f"), *[F.sum(F.coalesce(F.col(f"w{i}"), F.lit(0.0))).alias(f"l{i}") for i in range(k)])
 
 
-def posterior(priors: list[float], temper: Column, power: Column) -> list[Column]:
-    """Softmax of prior + temper * evidence / features^power."""
-    k = len(priors)
+def posterior(priors: list[float], temper: Column, power: Column, absence: Column) -> list[Column]:
+    """Softmax of prior + temper * evidence / features^power; a text with words owes ``absence`` to the likeliest domain.
+
+    Features that are missing tell too: where one domain has few marks of its own and the others have many, a text
+    without marks is more surely of the first than the prior says.
+    """
+    k, common = len(priors), int(np.argmax(priors))
     scale = temper / F.pow(F.greatest(F.col("f"), F.lit(1)).cast("double"), power)
-    logits = [F.lit(priors[i]) + F.col(f"l{i}") * scale for i in range(k)]
+    owed = F.when(F.col("f") > 0, absence).otherwise(F.lit(0.0))
+    logits = [F.lit(priors[i]) + F.col(f"l{i}") * scale + (owed if i == common else F.lit(0.0)) for i in range(k)]
     top = F.greatest(*logits) if k > 1 else logits[0]
     powers = [F.exp(x - top) for x in logits]
     return [p / sum(powers[1:], powers[0]) for p in powers]
 
 
-def temper(aside: DataFrame, weights: DataFrame, priors: list[float], names: list[str]) -> tuple[float, float]:
-    """The (temper, power) of the least log loss on the rows set aside: one aggregation for the whole grid."""
+def temper(aside: DataFrame, weights: DataFrame, priors: list[float], names: list[str]) -> tuple[float, float, float]:
+    """The (temper, power, absence) of the least log loss on the rows set aside: one aggregation for the whole grid."""
     k = len(names)
     held = evidence(aside, weights, ["doc_id", "domain"], k, "text")
-    grid = [F.struct(F.lit(p).alias("power"), F.lit(t).alias("temper")) for p in (0.0, 0.25, 0.5, 1.0) for t in (2.0**e for e in range(-4, 6))]
-    each = held.withColumn("g", F.explode(F.array(*grid))).select("*", *[p.alias(f"p{i}") for i, p in enumerate(posterior(priors, F.col("g.temper"), F.col("g.power")))])
+    grid = [
+        F.struct(F.lit(a).alias("absence"), F.lit(p).alias("power"), F.lit(t).alias("temper"))
+        for a in (0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0) for p in (0.0, 0.25, 0.5, 1.0) for t in (2.0**e for e in range(-4, 6))
+    ]
+    each = held.withColumn("g", F.explode(F.array(*grid))).select("*", *[p.alias(f"p{i}") for i, p in enumerate(posterior(priors, F.col("g.temper"), F.col("g.power"), F.col("g.absence")))])
     own = functools.reduce(lambda c, i: c.when(F.col("domain") == names[i], F.col(f"p{i}")), range(1, k), F.when(F.col("domain") == names[0], F.col("p0")))
     losses = each.groupBy("g").agg(F.avg(-F.log(F.greatest(own, F.lit(1e-12)))).alias("loss")).orderBy("loss", "g").first()
-    return (losses.g.temper, losses.g.power) if losses else (1.0, 0.5)
+    return (losses.g.temper, losses.g.power, losses.g.absence) if losses else (1.0, 0.5, 0.0)
 
 
 def rate_of(k: int, steps: list[np.ndarray], max_rate: float | None) -> Column:
@@ -148,11 +156,11 @@ def mix(
     spark, names = docs.sparkSession, list(targets)
     k = len(names)
     weights, priors, aside = learn(docs, domains, names, sample=sample, text_column=text_column)
-    t, power = temper(aside, weights, priors, names)
+    t, power, absence = temper(aside, weights, priors, names)
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text_column).alias("text"))
     told = evidence(rows, weights, ["row", "doc_id", "text_hash"], k, "text")
-    table = shared.written(told.select("doc_id", "text_hash", "n_tokens", *[p.alias(f"p{i}") for i, p in enumerate(posterior(priors, F.lit(t), F.lit(power)))]), "posteriors")
+    table = shared.written(told.select("doc_id", "text_hash", "n_tokens", *[p.alias(f"p{i}") for i, p in enumerate(posterior(priors, F.lit(t), F.lit(power), F.lit(absence)))]), "posteriors")
     moments = table.agg(
         *[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"n{i}") for i in range(k)],
         *[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(k) for j in range(k)],
@@ -208,6 +216,9 @@ def mix(
 #: Weights of the production mix: mostly clean text, little of what is marked toxic or low in quality.
 TARGETS = {"clean": 0.94, "toxic": 0.03, "junk": 0.025, "junk_toxic": 0.005}
 
+#: Weights of the pipeline: nothing toxic.
+SAFE_TARGETS = {"clean": 0.97, "toxic": 0.0, "junk": 0.03, "junk_toxic": 0.0}
+
 
 def label_domains(labels: DataFrame) -> DataFrame:
     """Domains of the labels table: the four combinations of quality and toxic."""
