@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from perron.llm import shared
 from perron.llm.linededup import dedup_lines
-from perron.llm.mixing import TARGETS, label_domains, mix
+from perron.llm.mixing import SAFE_TARGETS, label_domains, mix
 from perron.llm.pack import pack_documents
 from perron.llm.quality import score_documents
 from perron.llm.simhash import near_duplicates
@@ -46,8 +46,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix asks: rates of at most 1, so clean text stays and the rest thins out."""
-    rates = mix(docs, label_domains(_labels(spark, sf_dir)), TARGETS, max_rate=1.0)
+    """Documents as often as the mix asks: rates of at most 1, so clean text stays, and no toxic text by the targets."""
+    rates = mix(docs, label_domains(_labels(spark, sf_dir)), SAFE_TARGETS, max_rate=1.0)
     out = rates.where("copies = 0").select("doc_id").distinct()
     return docs.join(out, "doc_id", "left_anti").select(COLUMNS)
 
