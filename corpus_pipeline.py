@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from perron.llm import shared
 from perron.llm.linededup import dedup_lines
 from perron.llm.mixing import SAFE_TARGETS, label_domains, mix
+from perron.llm.neardup import near_duplicates
 from perron.llm.pack import pack_documents
 from perron.llm.quality import score_documents
-from perron.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,7 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id."""
     late = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(late, "doc_id", "left_anti").select(COLUMNS)
 

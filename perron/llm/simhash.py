@@ -34,15 +34,20 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
     Bytes suffice: bytes.lower() changes A-Z only and bytes.split() splits at 0x20 and 0x09-0x0D.
     """
-    parts = (text or "").encode().lower().split()
+    hashes = shingle_hashes((text or "").encode().lower().split(), words)
+    return majority(hashes) if len(hashes) else 0
+
+
+def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
+    """Hashes of all shingles in order; fewer than ``words`` parts are one shingle."""
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(parts) < words:
         shingles = [b" ".join(parts)]
     else:
         shingles = map(b" ".join, zip(*(parts[i:] for i in range(words))))
     digest = functools.partial(xxhash.xxh64_intdigest, seed=SEED)
-    return majority(np.fromiter(map(digest, shingles), np.uint64))
+    return np.fromiter(map(digest, shingles), np.uint64)
 
 
 def majority(hashes: np.ndarray) -> int:
