@@ -212,21 +212,35 @@ m AS (SELECT e.event_id, e.stop_id, real_trip_id, stop_sequence, least(abs(row_s
 SELECT event_id, real_trip_id, sched_diff FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY sched_diff NULLS {nulls}, real_trip_id NULLS LAST, stop_sequence NULLS LAST) AS k FROM m) WHERE k = 1"""
 
 
-def _match(spark, sf, strict):
+def _match(spark, sf, strict, within="true"):
     t = F.col("ts")
     e = A.table(spark, sf, "events").select("event_id", (F.col("user_id") % 100 + 1).alias("stop_id"), (F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(F.second(t))).cast("long").alias("row_s"))
-    s = trips.sessions(A.stop_times(spark, sf)).where("stop_sequence <= 2 and trip_id % 20 < 3")
+    s = trips.sessions(A.stop_times(spark, sf)).where(within)
     c = s.select("stop_id", "real_trip_id", "stop_sequence", F.when(F.col("trip_id") % 11 != 0, F.col("departure_s") % 86400).alias("candidate_s"))
     return trips.best_match(e, c, ["stop_id"], ["event_id"], strict=strict).select("event_id", "real_trip_id", "sched_diff")
 
 
+#: The given SQL of the next two looks at these candidates only; the queries named _whole look at all stop times.
+_SQL_CANDIDATES = "stop_sequence <= 2 and trip_id % 20 < 3"
+
+
 @query(_match_sql("LAST"))
 def best_match_cyclic(spark, sf):
-    return _match(spark, sf, False)
+    return _match(spark, sf, False, _SQL_CANDIDATES)
 
 
 @query(_match_sql("FIRST"))
 def best_match_cyclic_strict(spark, sf):
+    return _match(spark, sf, True, _SQL_CANDIDATES)
+
+
+@query()
+def best_match_cyclic_whole(spark, sf):
+    return _match(spark, sf, False)
+
+
+@query()
+def best_match_cyclic_strict_whole(spark, sf):
     return _match(spark, sf, True)
 
 

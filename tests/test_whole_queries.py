@@ -1,0 +1,25 @@
+"""Queries over whole tables whose SQL counterparts see a part only."""
+
+import duckdb
+import pytest
+from test_queries import SF, canonical
+
+from perron import catalog
+
+
+def whole(name, part, tables):
+    """The SQL of a query without its filter, in DuckDB."""
+    sql = catalog.ORACLE_SQL[name]
+    assert part in sql
+    con = duckdb.connect()
+    for t in tables:
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return con.sql(sql.replace(part, "")).df()
+
+
+@pytest.mark.parametrize("name", ["best_match_cyclic", "best_match_cyclic_strict"])
+def test_best_match_over_all_stop_times(spark, name):
+    want = whole(name, " WHERE stop_sequence <= 2 AND trip_id % 20 < 3", ["events", "lineitem"])
+    got = catalog.QUERIES[f"{name}_whole"](spark, SF).toPandas()
+    assert canonical(got) == canonical(want)
+    assert canonical(got) != canonical(catalog.QUERIES[name](spark, SF).toPandas())
