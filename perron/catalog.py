@@ -309,12 +309,21 @@ def works_daily(spark, sf):
     return works.daily_impact(works.daily(A.works(spark, sf)))
 
 
+def _nearest_works(spark, sf, within="true"):
+    o = A.table(spark, sf, "orders").where(within).select(F.col("o_orderpriority").alias("line"), F.col("o_orderdate").cast("date").alias("date"), (F.col("o_custkey") % 30).alias("stop_id"))
+    near = works.nearest_site(o.select("*", *A.coordinates(F.col("stop_id"))), works.daily(A.works(spark, sf)))
+    return near.select("line", "date", "stop_id", r("km", 5).alias("travaux_distance_km"))
+
+
 @query(f"""WITH {A.WORKS}, s AS (SELECT DISTINCT o_orderpriority AS line, CAST(o_orderdate AS DATE) AS date, o_custkey % 30 AS stop_id FROM orders WHERE o_orderkey % 10 = 0), t AS (SELECT *, 49.5 + stop_id / 100.0 AS la, 2.5 + stop_id * 7 % 390 / 100.0 AS lo FROM s)
 SELECT line, date, stop_id, round(min({A.haversine_sql("la", "lo", "wd.lat", "wd.lon")}), 5) AS travaux_distance_km FROM t JOIN wd USING (line, date) GROUP BY 1, 2, 3""")
 def works_min_distance(spark, sf):
-    o = A.table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderpriority").alias("line"), F.col("o_orderdate").cast("date").alias("date"), (F.col("o_custkey") % 30).alias("stop_id"))
-    near = works.nearest_site(o.select("*", *A.coordinates(F.col("stop_id"))), works.daily(A.works(spark, sf)))
-    return near.select("line", "date", "stop_id", r("km", 5).alias("travaux_distance_km"))
+    return _nearest_works(spark, sf, "o_orderkey % 10 = 0")
+
+
+@query()  # the given SQL above looks at a tenth of the orders only
+def works_min_distance_whole(spark, sf):
+    return _nearest_works(spark, sf)
 
 
 @query(f"""WITH {A.WORKS}, g AS (SELECT line, date, count(*) AS n, max(level) AS l FROM wd GROUP BY 1, 2), x AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN 'none' ELSE o_orderpriority END AS line, CAST(o_orderdate AS DATE) AS date FROM orders)

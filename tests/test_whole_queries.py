@@ -23,3 +23,10 @@ def test_best_match_over_all_stop_times(spark, name):
     got = catalog.QUERIES[f"{name}_whole"](spark, SF).toPandas()
     assert canonical(got) == canonical(want)
     assert canonical(got) != canonical(catalog.QUERIES[name](spark, SF).toPandas())
+
+
+def test_works_distance_of_all_orders(spark):
+    want = whole("works_min_distance", " WHERE o_orderkey % 10 = 0", ["orders"])
+    got = catalog.QUERIES["works_min_distance_whole"](spark, SF).toPandas()
+    assert canonical(got) == canonical(want)
+    assert len(got) > len(catalog.QUERIES["works_min_distance"](spark, SF).toPandas())
