@@ -4,9 +4,10 @@ Fingerprints are computed where the texts are read. The distinct ones form a bin
 highest. The trie is joined with itself: pairs of nodes are descended together, bits on which the two sides differ are
 added up, and a pair is pruned once they exceed the budget.
 
-The upper levels are cut where subtrees have about ``leaf`` fingerprints (subtrees that stay larger are cut deeper, so a
-dense group of near copies spreads over tasks), the surviving subtree pairs are dealt out to tasks, and each task
-continues the descent in numpy over the two sorted runs, breadth first and in bounded chunks. A task returns links as
+The trie is cut where subtrees have ``leaf`` fingerprints at most (dense regions are cut deeper, so a group of near
+copies spreads over tasks). The driver descends the few levels above the cut, of which it knows counts only; the
+surviving subtree pairs are dealt out to tasks by ranges of their left subtree, and each task continues the descent in
+numpy over the two sorted runs, breadth first and in bounded chunks. A task returns links as
 stars (each fingerprint with the smallest one it reaches there), never all pairs; components of all links follow by
 alternating large-star and small-star steps on the DataFrame of links.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +74,22 @@ def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     return picked.mapInArrow(task, "doc_id long, fp long")
 
 
+def _split(a: np.ndarray, b: np.ndarray, nodes: tuple[np.ndarray, ...], depth: int, budget: int, own: bool) -> tuple[np.ndarray, ...]:
+    """Pairs of children of pairs of nodes: (from, to) in a, (from, to) in b, differing bits. Over the budget is pruned."""
+    alo, ahi, blo, bhi, diff = nodes
+    bit = np.uint64(1 << (BITS - 1 - depth))
+    low = np.uint64((1 << (BITS - 1 - depth)) - 1)
+    amid = np.clip(np.searchsorted(a, (a[alo] & ~low) | bit), alo, ahi)
+    bmid = np.clip(np.searchsorted(b, (b[blo] & ~low) | bit), blo, bhi)
+    parts = []
+    for x0, x1, y0, y1, more in ((alo, amid, blo, bmid, 0), (amid, ahi, bmid, bhi, 0), (alo, amid, bmid, bhi, 1), (amid, ahi, blo, bmid, 1)):
+        keep = (x1 > x0) & (y1 > y0) & (diff + more <= budget)
+        if own:
+            keep &= x0 <= y0  # of a pair and its mirror image one is descended
+        parts.append(tuple(v[keep] for v in (x0, x1, y0, y1)) + (diff[keep] + more,))
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(5))
+
+
 def descend(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, budget: int, chunk: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i into a, j into b) of fingerprints at most ``budget`` bits apart.
 
@@ -83,34 +101,21 @@ def descend(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, budget:
     first = tuple(np.array([x], np.int64) for x in (0, len(a), 0, len(b), used))
     stack = [(depth, first)]
     while stack:
-        depth, (alo, ahi, blo, bhi, diff) = stack.pop()
-        if len(alo) > chunk:
-            half = len(alo) // 2
-            stack += [(depth, tuple(x[half:] for x in (alo, ahi, blo, bhi, diff))), (depth, tuple(x[:half] for x in (alo, ahi, blo, bhi, diff)))]
+        depth, nodes = stack.pop()
+        if len(nodes[0]) > chunk:
+            half = len(nodes[0]) // 2
+            stack += [(depth, tuple(x[half:] for x in nodes)), (depth, tuple(x[:half] for x in nodes))]
             continue
+        alo, ahi, blo, bhi, _ = nodes
         small = ((ahi - alo) * (bhi - blo) <= 24) | (depth == BITS)
         if small.any():
             for i, j in _compare(a, b, alo[small], ahi[small], blo[small], bhi[small], budget, chunk):
                 yield (i[i < j], j[i < j]) if own else (i, j)
-            alo, ahi, blo, bhi, diff = (x[~small] for x in (alo, ahi, blo, bhi, diff))
-        if not len(alo):
-            continue
-        bit = np.uint64(1 << (BITS - 1 - depth))
-        low = np.uint64((1 << (BITS - 1 - depth)) - 1)
-        amid = np.searchsorted(a, (a[alo] & ~low) | bit)
-        bmid = np.searchsorted(b, (b[blo] & ~low) | bit)
-        amid, bmid = np.clip(amid, alo, ahi), np.clip(bmid, blo, bhi)
-        parts = []
-        for x0, x1, y0, y1, more in ((alo, amid, blo, bmid, 0), (amid, ahi, bmid, bhi, 0), (alo, amid, bmid, bhi, 1), (amid, ahi, blo, bmid, 1)):
-            keep = (x1 > x0) & (y1 > y0) & (diff + more <= budget)
-            if own:
-                keep &= x0 < y1  # the mirror image of a pair is descended once
-                if (x0 is amid) and (y0 is blo):
-                    keep &= x0 < y0
-            parts.append(tuple(v[keep] for v in (x0, x1, y0, y1)) + (diff[keep] + more,))
-        joined = tuple(np.concatenate([p[k] for p in parts]) for k in range(5))
-        if len(joined[0]):
-            stack.append((depth + 1, joined))
+            nodes = tuple(x[~small] for x in nodes)
+        if len(nodes[0]):
+            following = _split(a, b, nodes, depth, budget, own)
+            if len(following[0]):
+                stack.append((depth + 1, following))
 
 
 def _compare(a, b, alo, ahi, blo, bhi, budget: int, chunk: int):
@@ -153,121 +158,60 @@ def cut_trie(distinct: DataFrame, leaf: int, step: int = 8) -> list[tuple[int, i
     """Subtrees (prefix, depth) that hold all fingerprints, each of ``leaf`` at most unless 64 bits deep.
 
     Counts by prefix are summed on the executors, ``step`` bits at a time and only below subtrees that are still too
-    large, so the driver sees a few 2^step-fold counts of large subtrees.
-    """
-    done: list[tuple[int, int]] = []
-    large, depth = [0], 0
-    while large:
-        depth = min(BITS, depth + step)
-        key = F.shiftrightunsigned("fp", BITS - depth) if depth < BITS else F.col("fp")
-        above = F.shiftrightunsigned("fp", BITS - depth + step) if depth > step else F.lit(0).cast("long")
-        within = distinct.where(above.isin(large)) if depth > step else distinct
-        counts = {r.k % (1 << 64): r.n for r in within.groupBy(key.alias("k")).count().withColumnRenamed("count", "n").collect()}
-        large = []
-        todo = sorted({k >> min(step, depth) for k in counts})
-        for top in todo:  # from the top of this step down: whole subtrees where they are small enough
-            nodes = [(top, depth - step)]
-            while nodes:
-                p, d = nodes.pop()
-                lo, hi = p << (depth - d), (p + 1) << (depth - d)
-                held = [c for k, c in counts.items() if lo <= k < hi] if d < depth else [counts.get(p, 0)]
-                n = sum(held)
-                if not n:
-                    continue
-                if (n <= leaf and d > 0) or (d == depth == BITS):
-                    done.append((p, d))
-                elif d == depth:
-                    large.append(p - (1 << 64) if p >= 1 << 63 else p)
-                else:
-                    nodes += [(2 * p, d + 1), (2 * p + 1, d + 1)]
-    return sorted(done, key=lambda x: x[0] << (BITS - x[1]))
-
-
-def node_pairs(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int, int]]:
-    """(i, j, differing bits) of subtrees whose common upper bits differ in ``budget`` at most, i <= j.
-
-    The upper trie is joined with itself like the lower ones: a pair of node ranges is split by the next bit of both
-    sides, and pruned over the budget. A subtree that ends at this depth meets all that is left on the other side.
-    """
-    starts = [p << (BITS - d) for p, d in nodes]
-    out: list[tuple[int, int, int]] = []
-    stack = [(0, len(nodes), 0, len(nodes), 0, 0)] if nodes else []
-    while stack:
-        alo, ahi, blo, bhi, depth, used = stack.pop()
-        ends = [hi - lo == 1 and nodes[lo][1] <= depth for lo, hi in ((alo, ahi), (blo, bhi))]
-        if any(ends):
-            out += [(i, j, used) for i in range(alo, ahi) for j in range(blo, bhi) if i <= j]
-            continue
-        bit, cuts = 1 << (BITS - 1 - depth), []
-        for lo, hi in ((alo, ahi), (blo, bhi)):
-            upper = (starts[lo] >> (BITS - depth) << (BITS - depth)) | bit if depth else bit
-            mid = bisect.bisect_left(starts, upper, lo, hi)
-            cuts.append(((lo, mid), (mid, hi)))
-        for x, a in enumerate(cuts[0]):
-            for y, b in enumerate(cuts[1]):
-                if a[0] < a[1] and b[0] < b[1] and a[0] < b[1] and used + (x != y) <= budget:
-                    stack.append((*a, *b, depth + 1, used + (x != y)))
-    return out
-
-
-def links(self) -> tuple[np.ndarray, np.ndarray]:
-        member = np.flatnonzero(self.label != np.arange(len(self.label)))
-        return member, self.label[member]
-
-
-def cut_trie(distinct: DataFrame, leaf: int, step: int = 8) -> list[tuple[int, int]]:
-    """Subtrees (prefix, depth) that hold all fingerprints, each of ``leaf`` at most unless 64 bits deep.
-
-    Counts by prefix are summed on the executors, ``step`` bits at a time and only below subtrees that are still too
-    large, so the driver sees a few 2^step-fold counts of large subtrees.
+    large, so the driver sees 2^step counts at most for each large subtree. A subtree's count is a difference of their
+    running sums.
     """
     done: list[tuple[int, int]] = []
     large, depth = [0], 0
     while large:
-        depth = min(BITS, depth + step)
-        key = F.shiftrightunsigned("fp", BITS - depth) if depth < BITS else F.col("fp")
-        above = F.shiftrightunsigned("fp", BITS - depth + step) if depth > step else F.lit(0).cast("long")
-        within = distinct.where(above.isin(large)) if depth > step else distinct
-        counts = {r.k % (1 << 64): r.n for r in within.groupBy(key.alias("k")).count().withColumnRenamed("count", "n").collect()}
-        large = []
-        todo = sorted({k >> min(step, depth) for k in counts})
-        for top in todo:  # from the top of this step down: whole subtrees where they are small enough
-            nodes = [(top, depth - step)]
-            while nodes:
-                p, d = nodes.pop()
-                lo, hi = p << (depth - d), (p + 1) << (depth - d)
-                held = [c for k, c in counts.items() if lo <= k < hi] if d < depth else [counts.get(p, 0)]
-                n = sum(held)
-                if not n:
-                    continue
-                if (n <= leaf and d > 0) or (d == depth == BITS):
-                    done.append((p, d))
-                elif d == depth:
-                    large.append(p - (1 << 64) if p >= 1 << 63 else p)
-                else:
-                    nodes += [(2 * p, d + 1), (2 * p + 1, d + 1)]
+        below = min(BITS, depth + step)
+        key = F.shiftrightunsigned("fp", BITS - below) if below < BITS else F.col("fp")
+        within = distinct.where(F.shiftrightunsigned("fp", BITS - depth).isin(large)) if depth else distinct
+        found = sorted((r.k % (1 << BITS), r.n) for r in within.groupBy(key.alias("k")).agg(F.count("*").alias("n")).collect())
+        keys, sums = [k for k, _ in found], [0, *itertools.accumulate(n for _, n in found)]
+        nodes, large = [(p, depth) for p in large], []
+        while nodes:
+            p, d = nodes.pop()
+            lo, hi = (bisect.bisect_left(keys, x << (below - d)) for x in (p, p + 1))
+            n = sums[hi] - sums[lo]
+            if not n:
+                continue
+            if n <= leaf or d == BITS:
+                done.append((p, d))
+            elif d == below:
+                large.append(p)
+            else:
+                nodes += [(2 * p, d + 1), (2 * p + 1, d + 1)]
+        depth = below
     return sorted(done, key=lambda x: x[0] << (BITS - x[1]))
 
 
-def node_pairs(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int, int]]:
-    """(i, j, differing bits) of subtrees whose common upper bits differ in ``budget`` at most, i <= j.
+def node_pairs(nodes: list[tuple[int, int]], budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differing bits) of subtrees whose common upper bits differ in ``budget`` at most, i <= j, in order.
 
-    The pairs of the trie above the subtrees are descended in step with one another, from the root.
+    The trie above the subtrees is joined with itself as the lower ones are, level by level: ranges of subtrees are
+    split by the next bit of both sides and pruned over the budget. A subtree that ends at this depth meets all that is
+    left on the other side.
     """
-    if not nodes:
-        return []
-    prefix = np.array([p for p, _ in nodes], dtype=object)
-    depth = np.array([d for _, d in nodes], np.int64)
-    start = np.array([int(p) << (BITS - int(d)) for p, d in nodes], dtype=np.uint64)
-    out: list[tuple[int, int, int]] = []
-    del prefix
-    for i in range(len(nodes)):
-        shared_bits = np.minimum(depth[i], depth[i:])
-        mask = np.where(shared_bits == 0, np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF) << (64 - np.maximum(shared_bits, 1)).astype(np.uint64))
-        apart = np.bitwise_count((start[i] ^ start[i:]) & mask)
-        for k in np.flatnonzero(apart <= budget):
-            out.append((i, i + int(k), int(apart[k])))
-    return out
+    starts = np.array([p << (BITS - d) for p, d in nodes], np.uint64)
+    depths = np.array([d for _, d in nodes], np.int64)
+    out = []
+    now = tuple(np.array([x] if nodes else [], np.int64) for x in (0, len(nodes), 0, len(nodes), 0))
+    for depth in range(BITS + 1):
+        alo, ahi, blo, bhi, used = now
+        ends = ((ahi - alo == 1) & (depths[alo] <= depth)) | ((bhi - blo == 1) & (depths[blo] <= depth))
+        n = ((ahi - alo) * (bhi - blo))[ends]
+        which = np.repeat(np.flatnonzero(ends), n)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        width = (bhi - blo)[which]
+        i, j = alo[which] + k // np.maximum(width, 1), blo[which] + k % np.maximum(width, 1)
+        out.append(np.stack([i, j, used[which]])[:, i <= j])
+        now = tuple(x[~ends] for x in now)
+        if not len(now[0]):
+            break
+        now = _split(starts, starts, now, depth, budget, True)
+    found = np.concatenate(out, axis=1)
+    return tuple(found[:, np.lexsort((found[1], found[0]))])
 
 
 def links(distinct: DataFrame, budget: int = 3, leaf: int | None = None, most_leaves: int = 4096) -> tuple[DataFrame, str]:
@@ -333,11 +277,9 @@ def links(distinct: DataFrame, budget: int = 3, leaf: int | None = None, most_le
                     both = (a if b is None else np.concatenate([a, b])).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(both[member]), pa.array(both[head])], ["a", "b"])
 
-    if pairs:
-        table = spark.createDataFrame(pa.table(dict(zip(("i", "j", "used"), (pa.array(c, pa.int64()) for c in zip(*pairs))))))
-        table = table.repartition(max(1, min(len(pairs), shared.parallelism(spark))))
-    else:
-        table = spark.createDataFrame([], "i long, j long, used long")
+    # pairs of one left subtree lie next to each other, so a task reads few files more than once
+    table = spark.createDataFrame(pa.table(dict(zip(("i", "j", "used"), map(pa.array, pairs)))))
+    table = table.repartitionByRange(max(1, min(len(pairs[0]), shared.parallelism(spark))), "i", "j").sortWithinPartitions("i", "j")
     return table.mapInArrow(join, "a long, b long"), folder
 
 

@@ -40,14 +40,21 @@ def slow_components(fps, ids):
 
 
 def test_simhash_matches_brute_force(odd_docs, clashing_docs):
-    rows = odd_docs.where("length(coalesce(text, '')) < 50000").collect()
+    rows = odd_docs.collect()
     ids, fps = [r.doc_id for r in rows], [slow_fingerprint(r.text) for r in rows]
     want = sorted(zip(ids, (f"{f:016x}" for f in fps), slow_components(fps, ids)))
     for docs, leaf in ((odd_docs, None), (clashing_docs, 3)):
-        got = simhash.near_duplicates(docs.where("length(coalesce(text, '')) < 50000"), leaf=leaf).collect()
+        got = simhash.near_duplicates(docs, leaf=leaf).collect()
         assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
 
 
+def test_simhash_of_null_ids(spark):
+    """A null id keeps its row and names no component that has another id."""
+    rows = [(None, "a b c d"), (7, "A B c d"), (9, "a b c d"), (None, "quite another text here"), (None, None), (3, "")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=1).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 3), (0, 7), (3, 3), (7, 7), (9, 7)]
+
+
 def test_simhash_of_nothing(no_docs):
     assert simhash.near_duplicates(no_docs).collect() == []
 
@@ -66,6 +73,42 @@ def test_trie_join_finds_all_links(spark):
         assert found == want
 
 
+def test_upper_trie_join_equals_all_pairs():
+    rng = np.random.default_rng(5)
+
+    def cut(fps, leaf):
+        done, todo = [], [(0, 0, fps)]
+        while todo:
+            p, d, held = todo.pop()
+            if len(held) <= leaf or d == 64:
+                done += [(p, d)] * bool(len(held))
+            else:
+                upper = held >= np.uint64((2 * p + 1) << (63 - d))
+                todo += [(2 * p, d + 1, held[~upper]), (2 * p + 1, d + 1, held[upper])]
+        return sorted(done, key=lambda x: x[0] << (64 - x[1]))
+
+    for groups in (1, 4, 50):
+        base = rng.integers(0, 2**64, groups, np.uint64)  # few groups: a skewed trie
+        fps = np.unique(np.r_[base, base[rng.integers(0, groups, 400)] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))])
+        for leaf in (1, 20, 1000):
+            nodes = cut(fps, leaf)
+            want = []
+            for i, (p, d) in enumerate(nodes):
+                for j, (q, e) in list(enumerate(nodes))[i:]:
+                    apart = bin((p >> (d - min(d, e))) ^ (q >> (e - min(d, e)))).count("1")
+                    want += [(i, j, apart)] * (apart <= 3)
+            assert list(zip(*(x.tolist() for x in simhash.node_pairs(nodes, 3)))) == want
+    assert all(len(x) == 0 for x in simhash.node_pairs([], 3))
+
+
+def test_trie_is_cut_by_counts(spark):
+    rng = np.random.default_rng(6)
+    fps = np.unique(np.r_[rng.integers(0, 2**64, 300, np.uint64), np.uint64(2**64 - 1) ^ (np.uint64(1) << np.arange(40, dtype=np.uint64))])
+    nodes = simhash.cut_trie(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), 10)
+    held = [sum(p << (64 - d) <= int(x) < (p + 1) << (64 - d) for x in fps) for p, d in nodes]
+    assert sum(held) == len(fps) and all(0 < n <= 10 for n in held)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 300)] + [(5, 5), (700, 650), (650, 700)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
