@@ -166,6 +166,7 @@ def pack_documents(
     *,
     id_column: str = "doc_id",
     text_column: str = "text",
+    context_column: str | None = None,
     tokenizer: str | None = None,
     end_id: int = 1,
     limits: Limits = Limits(),
@@ -177,13 +178,17 @@ def pack_documents(
     A null text is an empty one, so the document is its end id alone. A null id stays null; repeated rows are packed
     as often as they come. Documents are read once, in runs of about ``run_tokens`` tokens, each packed on its own;
     sequence_id = task number * 2^32 + number in the task. An empty table gives no rows. Other columns are not read.
+
+    ``context_column`` holds what comes before the text of an example, such as its prompt: its ids, encoded on their own,
+    come first and bear no loss (null: none). Without it all tokens bear loss, so a loss limit of the sequence length
+    never binds.
     """
     path = tokenizer or tk.default_tokenizer()
 
-    def run(ids: list, raw: list[bytes], dtype, first: int) -> tuple[pa.RecordBatch, int]:
+    def run(ids: list, raw: list[bytes], contexts: list[int], dtype, first: int) -> tuple[pa.RecordBatch, int]:
         words = [np.frombuffer(x, dtype) for x in raw]
         cols: list[list] = [[] for _ in range(8)]
-        rows = pack_run([len(w) for w in words], [0] * len(words), limits, cut)
+        rows = pack_run([len(w) for w in words], contexts, limits, cut)
         for number, row in enumerate(rows):
             at = 0
             for p in row:
@@ -200,18 +205,22 @@ def pack_documents(
         end = np.asarray([end_id], enc.dtype).tobytes()
         most = run_tokens * enc.dtype.itemsize
         sequence = TaskContext.get().partitionId() << 32
-        ids, raw, held = [], [], 0
-        for batch in tk.pieces_of(batches, 1):
+        ids, raw, contexts, held = [], [], [], 0
+        for batch in tk.pieces_of(batches, *range(1, batch_columns)):
             ids += batch.column(0).to_pylist()
             new = [x + end for x in enc.encode(batch.column(1).to_pylist())]
+            before = enc.encode(batch.column(2).to_pylist()) if context_column else [b""] * len(new)
+            contexts += [len(x) // enc.dtype.itemsize for x in before]
+            new = list(map(bytes.__add__, before, new))
             raw += new
             held += sum(map(len, new))
             if held >= most:
-                out, sequence = run(ids, raw, enc.dtype, sequence)
+                out, sequence = run(ids, raw, contexts, enc.dtype, sequence)
                 yield out
-                ids, raw, held = [], [], 0
+                ids, raw, contexts, held = [], [], [], 0
         if ids:
-            yield run(ids, raw, enc.dtype, sequence)[0]
+            yield run(ids, raw, contexts, enc.dtype, sequence)[0]
 
-    picked = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    picked = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), *([F.col(context_column).alias("context")] if context_column else []))
+    batch_columns = len(picked.columns)
     return picked.mapInArrow(task, PIECES)

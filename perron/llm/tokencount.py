@@ -30,7 +30,7 @@ def write_flat(
     shared.make_dirs(spark, folder)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = tk.encoder(path), TaskContext.get().partitionId()
+        enc, part = tk.encoder(path, literal=True), TaskContext.get().partitionId()
         end, n, first = np.asarray([end_id], enc.dtype).tobytes(), 0, next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -121,5 +121,5 @@ def count_documents(docs: DataFrame, *, tokenizer: str | None = None, block_toke
     folder = shared.fresh_path(spark, "flat")
     path = tokenizer or tk.default_tokenizer()
     notes = write_flat(docs, folder, tokenizer=path)
-    counts = count_tokens(spark, folder, dtype=tk.encoder(path).dtype.str, block_tokens=block_tokens)
+    counts = count_tokens(spark, folder, dtype=tk.encoder(path, literal=True).dtype.str, block_tokens=block_tokens)
     return notes.join(counts.hint("merge"), ["file", "n"]).select("doc_id", "n_tokens", "file", "start")

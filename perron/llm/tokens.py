@@ -2,8 +2,8 @@
 
 A byte-level BPE pre-tokenizer ends a piece at every single space and line end that stands between other characters.
 So a text without neighbouring white space is the concatenation of independent chunks " word" and "\nword", and each
-distinct chunk needs the tokenizers library once. Texts with neighbouring or closing white space go through the
-library whole.
+distinct chunk needs the tokenizers library once. Texts with neighbouring or closing white space, and texts that hold
+the string of an added token (such as ``<|endoftext|>``), go through the library whole.
 """
 
 from __future__ import annotations
@@ -32,9 +32,13 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    """texts -> ids as little-endian bytes of ``dtype``; the cache holds at most ``entries`` chunks."""
+    """texts -> ids as little-endian bytes of ``dtype``; the cache holds at most ``entries`` chunks.
 
-    def __init__(self, path: str, entries: int = 900_000):
+    Ids are those of the library. With ``literal``, strings of special tokens are ordinary text, so a separator's id
+    never comes from a text.
+    """
+
+    def __init__(self, path: str, entries: int = 900_000, literal: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -42,7 +46,8 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (literal and t.special)]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
         byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         self.chunked = byte_level and self.tokenizer.encode("a\nb", add_special_tokens=False).ids[1:2] == [_NEWLINE]
@@ -114,7 +119,7 @@ class ChunkEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _HAZARD.search(text):
+            if _HAZARD.search(text) or any(t in text for t in self.added):
                 whole.append(i)
                 continue
             words = text.replace("\n", " \n").split(" ")
@@ -139,25 +144,24 @@ class ChunkEncoder:
         return out
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(path: str, literal: bool = False) -> ChunkEncoder:
+    """One encoder of each kind for each Python worker."""
+    if (path, literal) not in _encoders:
+        _encoders[path, literal] = ChunkEncoder(path, literal=literal)
+    return _encoders[path, literal]
 
 
-def pieces_of(batches: Iterable[pa.RecordBatch], texts_at: int, budget: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def pieces_of(batches: Iterable[pa.RecordBatch], *texts_at: int, budget: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has about ``budget`` bytes of text at most (single long texts stay whole)."""
+    import pyarrow.compute as pc
+
     for batch in batches:
-        column = batch.column(texts_at)
         sizes = np.zeros(batch.num_rows, np.int64)
-        if batch.num_rows:
-            import pyarrow.compute as pc
-
-            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for k in texts_at if batch.num_rows else ():
+            sizes += pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start, total = 0, 0
         for i, size in enumerate(sizes):
             if total and total + size > budget:

@@ -28,6 +28,7 @@ def odd_docs(spark):
     rows += [(100, None, None, None, None), (101, "", "en", "s", 0), (102, " \n\t ", "en", "s", 4), (103, "word", "en", "s", 4), (104, "Two words", "en", "s", 9)]
     long = "\n".join(texts) * 40
     rows += [(105, long, "en", "s", len(long)), (106, "x" * 200_000, "en", "s", 200_000), (103, "word", "en", "s", 4), (107, "a\n\n  a b \n\nc  d ", "en", "s", 12)]
+    rows += [(108, "<|endoftext|> x", "en", "s", 15), (109, "some words<|endoftext|>and more", "en", "s", 31)]
     return spark.createDataFrame(rows, DOCS)
 
 

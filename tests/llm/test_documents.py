@@ -9,16 +9,22 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from perron.llm import linededup, mixing, pack, quality, shared, simhash, tokencount, tokenfile
 from perron.llm import tokens as tk
 
 
+def library_ids(rows, literal=False):
+    """(doc_id, ids) in the order of ids, by the library alone."""
+    library = Tokenizer.from_file(tk.default_tokenizer())
+    library.encode_special_tokens = literal
+    return [(r.doc_id, np.array(library.encode(r.text or "", add_special_tokens=False).ids, "<u2")) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
 @pytest.fixture(scope="session")
 def expected_ids(odd_docs):
-    enc = tk.ChunkEncoder(tk.default_tokenizer())
-    rows = sorted(odd_docs.select("doc_id", "text").collect(), key=lambda r: r.doc_id)
-    return [(r.doc_id, np.frombuffer(x, enc.dtype)) for r, x in zip(rows, enc.raw([r.text or "" for r in rows]))]
+    return library_ids(odd_docs.select("doc_id", "text").collect())
 
 
 def slow_fingerprint(text):
@@ -145,13 +151,14 @@ def test_keep_runs_give_back_the_kept_lines(odd_docs):
 def test_chunked_encoding_equals_the_library(expected_ids, odd_docs):
     enc = tk.ChunkEncoder(tk.default_tokenizer(), entries=50)
     rows = sorted(odd_docs.select("doc_id", "text").collect(), key=lambda r: r.doc_id)
+    assert 50256 in np.concatenate([x for _, x in expected_ids])
     awkward = ["\n", "a\n", " a", "a \nb", "\n\n b", "it's, it's! don't", "tab\tx y", "²a, b²!", "a\xa0b c", "<|endoftext|> x"]
     assert enc.encode(awkward) == enc.raw(awkward)
     for _ in range(2):
         assert enc.encode([r.text for r in rows]) == [x.tobytes() for _, x in expected_ids]
 
 
-def check_pieces(rows, expected, limits):
+def check_pieces(rows, expected, limits, full=True):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -160,7 +167,7 @@ def check_pieces(rows, expected, limits):
         s.sort(key=lambda r: r.offset)
         assert [r.offset for r in s] == [sum(x.length for x in s[:i]) for i in range(len(s))]
         total = sum(r.length for r in s)
-        assert total == limits.tokens or total & (total - 1) == 0
+        assert total == limits.tokens or total & (total - 1) == 0 or not full
         assert len(s) <= limits.segments and sum(r.loss_tokens for r in s) <= limits.loss_tokens
     once = {d: x for d, x in expected}
     copies = defaultdict(int)
@@ -179,6 +186,22 @@ def test_packing(odd_docs, clashing_docs, expected_ids, no_docs):
     assert pack.pack_documents(no_docs).collect() == []
 
 
+def test_packing_of_prompts(spark, odd_docs):
+    """Tokens of a context come first and bear no loss; the limit of loss-bearing tokens binds."""
+    docs = odd_docs.where("doc_id < 60").withColumn("prompt", F.when(F.col("doc_id") % 3 > 0, F.substring("text", 1, 150)))
+    limits = pack.Limits(256, 8, 128)
+    rows = pack.pack_documents(docs, context_column="prompt", limits=limits, run_tokens=4_000).collect()
+    library = Tokenizer.from_file(tk.default_tokenizer())
+    encode = lambda text: library.encode(text or "", add_special_tokens=False).ids
+    want = {r.doc_id: (encode(r.prompt), encode(r.text)) for r in docs.collect()}
+    check_pieces(rows, [(d, np.array(a + b, "<u2")) for d, (a, b) in want.items()], limits, full=False)
+    loss = defaultdict(int)
+    for r in rows:
+        assert r.loss_tokens == min(r.length, max(0, r.start + r.length - len(want[r.doc_id][0])))
+        loss[r.sequence_id] += r.loss_tokens
+    assert max(loss.values()) == 128 and sum(loss.values()) == sum(len(b) + 1 for _, b in want.values())
+
+
 def test_packing_holds_three_limits_without_cutting():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 900, 400)
@@ -215,8 +238,8 @@ def test_token_file_round_trip(spark, odd_docs, expected_ids, no_docs):
     assert tokenfile.read_documents(spark, empty, tokenfile.write_documents(no_docs, empty)).collect() == []
 
 
-def test_token_counts(odd_docs, clashing_docs, expected_ids, no_docs):
-    want = sorted((d, len(x) + 1) for d, x in expected_ids)
+def test_token_counts(odd_docs, clashing_docs, no_docs):
+    want = sorted((d, len(x) + 1) for d, x in library_ids(odd_docs.collect(), literal=True))
     for docs, block in ((odd_docs, 4_000_000), (clashing_docs, 997)):
         assert sorted((r.doc_id, r.n_tokens) for r in tokencount.count_documents(docs, block_tokens=block).collect()) == want
     assert tokencount.count_documents(no_docs).collect() == []
