@@ -13,14 +13,19 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), one folder of this application."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir, else that of setCheckpointDir.
+
+    Where neither is set, local mode takes one temporary folder of this application; on a cluster that is an error, as
+    executors would not see the driver's folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="perron-")
-        spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
 
 
