@@ -1,8 +1,9 @@
 """Op 10: documents and their token counts in flat token files that have no index.
 
 A file is a bare run of little-endian ids in which an end-of-document id closes each document. Blocks of a file are
-searched on their own, each by one vectorised comparison; what a block cannot know, the place of the last separator
-before it, is stitched in by a prefix scan (a running maximum) over one small row for each block.
+searched on their own, each by one vectorised comparison, and the places of their separators are written to the shared
+folder. What a block cannot know, the place of the last separator before it and the number of those before it, comes
+from a prefix scan over one small row for each block (its count and its last separator), joined back to the blocks.
 """
 
 from __future__ import annotations
@@ -63,13 +64,18 @@ def count_tokens(spark: SparkSession, folder: str, *, end_id: int = tk.END_OF_TE
 
     system, path = shared.storage(folder)
     size = np.dtype(dtype).itemsize
-    blocks = []
+    files = []
     for f in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda f: f.base_name):
         if f.type != fs.FileType.File or f.base_name.endswith(".tmp"):
             continue
         if f.size % size:
             raise ValueError(f"{f.base_name} has {f.size} bytes, not a multiple of {size}")
-        blocks += [(f.base_name, k, f.size // size) for k in range(-(-f.size // (size * block_tokens)))]
+        if f.size:
+            files.append((f.base_name, f.size // size))
+    listed = spark.createDataFrame(files, "file string, total long")
+    each = listed.select("file", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / block_tokens))).alias("block"), "total")
+    count = sum(-(-n // block_tokens) for _, n in files)
+    blocks = each.repartition(max(1, task_count(spark, count)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = shared.storage(folder)
@@ -79,25 +85,17 @@ def count_tokens(spark: SparkSession, folder: str, *, end_id: int = tk.END_OF_TE
                     f.seek(k * block_tokens * size)
                     ids = np.frombuffer(f.read(min(block_tokens, total - k * block_tokens) * size), dtype)
                 at = np.flatnonzero(ids == end_id).astype(np.int64) + k * block_tokens
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([total], pa.int64()), pa.array([at.tolist()], pa.list_(pa.int64()))], ["file", "block", "total", "ends"])
-
-    schema = "file string, block long, total long"
-    if blocks:
-        tasks = min(len(blocks), max(task_count(spark, len(blocks)), 1))
-        rows = spark.createDataFrame(blocks, schema).repartition(tasks)
-    else:
-        rows = spark.createDataFrame([], schema)
-    found = rows.mapInArrow(scan, "file string, block long, total long, ends array<long>")
+                ends = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([total], pa.int64()), ends], ["file", "block", "total", "ends"])
+
+    found = shared.written(blocks.mapInArrow(scan, "file string, block long, total long, ends array<long>"), "separators")
+    narrow = found.select("file", "block", F.size("ends").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    all_blocks = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = F.when(F.size("ends") > 0, F.element_at("ends", -1))
-    stitched = found.select(
-        "file", "block", "total", "ends",
-        F.coalesce(F.max(last).over(before), F.lit(-1)).alias("carry"),
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("first"),
-        (F.max("block").over(all_blocks) == F.col("block")).alias("at_end"),
-    )
-    open_end = F.col("at_end") & (F.coalesce(last, F.col("carry")) < F.col("total") - 1)
+    carried = narrow.select("file", "block", F.coalesce(F.max("last").over(before), F.lit(-1)).alias("carry"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    stitched = found.join(carried, ["file", "block"])
+    last = F.when(F.size("ends") > 0, F.element_at("ends", -1)).otherwise(F.col("carry"))
+    at_end = (F.col("block") + 1) * block_tokens >= F.col("total")
+    open_end = at_end & (last < F.col("total") - 1)
     ends = F.when(open_end, F.concat("ends", F.array(F.col("total") - 1))).otherwise(F.col("ends"))
     each = stitched.select("file", "first", "carry", open_end.alias("open_end"), ends.alias("ends"), F.posexplode(ends).alias("i", "stop"))
     start = F.when(F.col("i") == 0, F.col("carry")).otherwise(F.element_at("ends", F.col("i"))) + 1
