@@ -2,13 +2,14 @@
 
 A shard is two Arrow stream files in a folder that driver and executors share:
 
-* ``shard-NNNNNN.arrows``: record batches of ``rows`` sequences each (the last may have fewer), with the columns
+* ``shard-NNNNNN-NNNNN.arrows`` (task and number in the task): record batches of ``rows`` sequences each (the last may have fewer), with the columns
   ``ids`` fixed_size_list<uint16|uint32>[length] and ``mask`` fixed_size_list<bool>[length] (false: padding). Only the
   last sequence of a shard is padded.
-* ``shard-NNNNNN.docs.arrows``: doc_id, start (tokens of the shard before the document), n_tokens.
+* ``shard-NNNNNN-NNNNN.docs.arrows``: doc_id, start (tokens of the shard before the document), n_tokens.
 
 Because a batch holds one contiguous buffer of rows * length ids, sequence k is row k % rows of batch k // rows, a view
-of the mapped file. Shards are numbered by ascending doc_id, so the dataset is one long ordered token stream.
+of the mapped file. Shards are numbered by ascending doc_id, so the dataset is one long ordered token stream. A task
+closes a shard once it holds ``shard_tokens`` tokens, so neither files nor what is kept of them grow with the input.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from . import tokens as tk
 
 
 def shard_name(folder: str, shard: int, docs: bool = False) -> str:
-    return f"{folder}/shard-{shard:06d}.{'docs.' if docs else ''}arrows"
+    return f"{folder}/shard-{shard >> 20:06d}-{shard & 0xFFFFF:05d}.{'docs.' if docs else ''}arrows"
 
 
 class ShardWriter:
@@ -114,62 +115,62 @@ def write_documents(
     length: int = 2048,
     rows: int = 256,
     shards: int | None = None,
+    shard_tokens: int = 64_000_000,
 ) -> list[tuple[int, int, int]]:
     """Write shards in ascending id order; returns (shard, documents, tokens) of each, in order.
 
-    Null texts are empty (the end id alone). Null ids come first; rows with one id keep together in any order.
+    Documents are dealt to ``shards`` tasks (default: the shuffle partitions) by ranges of ids; a document is never cut.
+    Null texts are empty (the end id alone). Null ids come first; rows with one id are ordered by a hash of their texts.
     An empty table writes nothing. Other columns are not read.
     """
     spark, path = docs.sparkSession, tokenizer or tk.default_tokenizer()
     shared.make_dirs(spark, folder)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard = tk.encoder(path), TaskContext.get().partitionId()
-        end = np.asarray([end_id], enc.dtype).tobytes()
-        ids, sizes, out = [], [], None
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-
-        def rest():
-            yield first
-            yield from batches
-
-        with shared.atomic_output(shard_name(folder, shard)) as stream:
-            out = ShardWriter(stream, enc.dtype, length, rows)
-            for batch in tk.pieces_of(rest(), 1):
-                ids += batch.column(0).to_pylist()
-                for raw in enc.encode(batch.column(1).to_pylist()):
-                    out.write(raw + end)
-                    sizes.append(len(raw) // enc.dtype.itemsize + 1)
-            out.close()
-        sizes = np.asarray(sizes, np.int64)
-        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "start": np.cumsum(sizes) - sizes, "n_tokens": sizes})
-        with shared.atomic_output(shard_name(folder, shard, True)) as stream, pa.ipc.new_stream(stream, table.schema) as w:
-            w.write_table(table)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [len(ids)], "tokens": [int(sizes.sum())]})
+        enc, shard = tk.encoder(path), TaskContext.get().partitionId() << 20
+        end, width = np.asarray([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
+
+        def encoded() -> Iterator[tuple[int | None, bytes]]:
+            for batch in tk.pieces_of(batches, 1):
+                yield from zip(batch.column(0).to_pylist(), (raw + end for raw in enc.encode(batch.column(1).to_pylist())))
+
+        docs_left = encoded()
+        pending = next(docs_left, None)
+        while pending is not None:
+            ids, sizes, total = [], [], 0
+            with shared.atomic_output(shard_name(folder, shard)) as stream:
+                out = ShardWriter(stream, enc.dtype, length, rows)
+                while pending is not None and total < shard_tokens:
+                    out.write(pending[1])
+                    ids.append(pending[0])
+                    sizes.append(len(pending[1]) // width)
+                    total += sizes[-1]
+                    pending = next(docs_left, None)
+                out.close()
+            n = np.asarray(sizes, np.int64)
+            table = pa.table({"doc_id": pa.array(ids, pa.int64()), "start": np.cumsum(n) - n, "n_tokens": n})
+            with shared.atomic_output(shard_name(folder, shard, True)) as stream, pa.ipc.new_stream(stream, table.schema) as w:
+                w.write_table(table, max_chunksize=65_536)
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [len(ids)], "tokens": [total]})
+            shard += 1
 
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    dealt = picked.repartitionByRange(shards or shared.parallelism(spark), "doc_id").sortWithinPartitions("doc_id")
+    dealt = picked.repartitionByRange(shards or shared.parallelism(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return sorted((r.shard, r.docs, r.tokens) for r in dealt.mapInArrow(task, "shard long, docs long, tokens long").collect())
 
 
 def read_documents(spark: SparkSession, folder: str, shards: list[tuple[int, int, int]]) -> DataFrame:
     """doc_id, start (in the whole stream), n_tokens and ids_crc32 of each document, from the files."""
-    base, total = {}, 0
-    for shard, _, n in shards:
-        base[shard] = total
-        total += n
-    names = [s for s, _, _ in shards]
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    tokens = np.array([n for *_, n in shards], np.int64)
+    listed = pa.table({"shard": pa.array([s for s, *_ in shards], pa.int64()), "base": np.cumsum(tokens) - tokens})
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                shard = Shard(folder, names[k])
-                start, n = shard.docs["start"].to_numpy(), shard.docs["n_tokens"].to_numpy()
-                crc = [tk.crc32_of(shard.tokens(a, b)) for a, b in zip(start.tolist(), n.tolist())]
-                docs = shard.docs["doc_id"].combine_chunks()
-                yield pa.RecordBatch.from_arrays([docs, pa.array(start + base[names[k]]), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return spark.range(0, len(names), 1, max(1, min(len(names), 4096))).mapInArrow(task, schema)
+            for k, base in zip(*(c.to_pylist() for c in batch.columns)):
+                shard = Shard(folder, k)
+                for part in shard.docs.to_batches(max_chunksize=8_192):
+                    start, n = part.column("start").to_numpy(), part.column("n_tokens").to_numpy()
+                    crc = [tk.crc32_of(shard.tokens(a, b)) for a, b in zip(start.tolist(), n.tolist())]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(start + base), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return spark.createDataFrame(listed).repartition(max(1, min(len(shards), 4096))).mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")

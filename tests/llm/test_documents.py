@@ -218,26 +218,38 @@ def test_packing_holds_three_limits_without_cutting():
         pack.pack_run([2000], [0], limits, cut=False)
 
 
-def test_token_file_round_trip(spark, odd_docs, expected_ids, no_docs):
-    folder = shared.fresh_path(spark, "t")
-    shards = tokenfile.write_documents(odd_docs, folder, length=128, rows=4, shards=3)
-    got = sorted(tokenfile.read_documents(spark, folder, shards).collect(), key=lambda r: r.start)
+def test_token_file_round_trip(spark, odd_docs, clashing_docs, expected_ids, no_docs):
     want, start = [], 0
     for d, ids in expected_ids:
         ids = np.append(ids, 2).astype("<u4")
         want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    assert [tuple(r) for r in got] == want
-    shard = tokenfile.Shard(folder, shards[0][0])
-    ids, mask = shard.sequence(1)
-    assert len(ids) == len(mask) == 128 and ids.base is not None and mask.all()
-    assert np.array_equal(ids, shard.tokens(128, 128))
-    last, mask = shard.sequence(len(shard) - 1)
-    assert mask.sum() == (shards[0][2] - 1) % 128 + 1
+    for docs, most in ((odd_docs, 64_000_000), (clashing_docs, 700)):
+        folder = shared.fresh_path(spark, "t")
+        shards = tokenfile.write_documents(docs, folder, length=128, rows=4, shards=3, shard_tokens=most)
+        assert most > start or len(shards) > 10
+        got = sorted(tokenfile.read_documents(spark, folder, shards).collect(), key=lambda r: r.start)
+        assert [tuple(r) for r in got] == want
+        shard = tokenfile.Shard(folder, shards[0][0])
+        ids, mask = shard.sequence(1)
+        assert len(ids) == len(mask) == 128 and ids.base is not None and mask.all()
+        assert np.array_equal(ids, shard.tokens(128, 128))
+        last, mask = shard.sequence(len(shard) - 1)
+        assert mask.sum() == (shards[0][2] - 1) % 128 + 1
     empty = shared.fresh_path(spark, "t")
     assert tokenfile.read_documents(spark, empty, tokenfile.write_documents(no_docs, empty)).collect() == []
 
 
+def test_operators_on_tokens_take_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, None), (4, "x y z"), (4, "x")], "doc_id long, text string")
+    folder = shared.fresh_path(spark, "t")
+    got = sorted(tokenfile.read_documents(spark, folder, tokenfile.write_documents(docs, folder)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 4, 4] and sorted(r.n_tokens for r in got) == [1, 2, 3, 4]
+    assert sorted((r.doc_id or 0, r.length) for r in pack.pack_documents(docs).collect() if r.start == 0 and r.length == r.doc_tokens)[:1] == [(0, 1)]
+    assert sum(r.length for r in pack.pack_documents(docs).collect()) == 10
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in tokencount.count_documents(docs).collect()) == [(0, 1), (0, 3), (4, 2), (4, 4)]
+
+
 def test_token_counts(odd_docs, clashing_docs, no_docs):
     want = sorted((d, len(x) + 1) for d, x in library_ids(odd_docs.collect(), literal=True))
     for docs, block in ((odd_docs, 4_000_000), (clashing_docs, 997)):
