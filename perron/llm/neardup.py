@@ -75,6 +75,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             lists = pa.array(bands, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ks, pa.int64()), pa.array(fp), pa.array(ns, pa.int64()), lists], ["doc_id", "k", "fp", "n", "bands"])
 
+    shared.bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, k long, fp long, n long, bands array<long>")
 
 

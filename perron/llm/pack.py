@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from . import tokens as tk
 
 
@@ -184,6 +185,7 @@ def pack_documents(
     never binds.
     """
     path = tokenizer or tk.default_tokenizer()
+    shared.bound_batches(docs.sparkSession)
 
     def run(ids: list, raw: list[bytes], contexts: list[int], dtype, first: int) -> tuple[pa.RecordBatch, int]:
         words = [np.frombuffer(x, dtype) for x in raw]

@@ -68,6 +68,7 @@ def statistics_table(docs: DataFrame, *, id_column: str = "doc_id", text_column:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), flat], ["doc_id", "x"])
 
+    shared.bound_batches(docs.sparkSession)
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return picked.mapInArrow(task, "doc_id long, x array<float>")
 

@@ -94,6 +94,13 @@ class atomic_output:
             self.fs.delete_file(self.tmp)
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Cut Arrow batches by bytes where the session has the default: 10 000 rows of whole texts may be far too many."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, most)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

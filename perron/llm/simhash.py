@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
+    shared.bound_batches(docs.sparkSession)
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return picked.mapInArrow(task, "doc_id long, fp long")
 

@@ -28,6 +28,7 @@ def write_flat(
     The files hold ids only; the returned table is the caller's own note of which document it wrote as the n-th.
     """
     spark, path = docs.sparkSession, tokenizer or tk.default_tokenizer()
+    shared.bound_batches(spark)
     shared.make_dirs(spark, folder)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

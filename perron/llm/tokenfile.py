@@ -124,6 +124,7 @@ def write_documents(
     An empty table writes nothing. Other columns are not read.
     """
     spark, path = docs.sparkSession, tokenizer or tk.default_tokenizer()
+    shared.bound_batches(spark)
     shared.make_dirs(spark, folder)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ class ChunkEncoder:
     never comes from a text.
     """
 
-    def __init__(self, path: str, entries: int = 900_000, literal: bool = False):
+    def __init__(self, path: str, entries: int = 500_000, literal: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -154,7 +154,7 @@ def encoder(path: str, literal: bool = False) -> ChunkEncoder:
     return _encoders[path, literal]
 
 
-def pieces_of(batches: Iterable[pa.RecordBatch], *texts_at: int, budget: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def pieces_of(batches: Iterable[pa.RecordBatch], *texts_at: int, budget: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has about ``budget`` bytes of text at most (single long texts stay whole)."""
     import pyarrow.compute as pc
 
