@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from perron.llm import linededup, mixing, pack, quality, shared, simhash, tokencount, tokenfile
+from perron.llm import linededup, pack, quality, shared, simhash, tokencount, tokenfile
 from perron.llm import tokens as tk
 
 
@@ -294,36 +294,3 @@ def test_quality_of_odd_rows(spark, odd_docs, clashing_docs, no_docs):
 def test_isotonic_is_monotone_and_pools():
     x, p = quality.isotonic(np.arange(5.0), np.array([10, 10, 10, 10, 10.0]), np.array([0, 6, 2, 9, 10.0]))
     assert list(x) == [0, 1.5, 3, 4] and (np.diff(p) >= 0).all() and abs(p[1] - 8.5 / 21) < 1e-12
-
-
-def test_mixing_reaches_its_targets(spark):
-    words = {"a": "apple pear plum grape", "b": "steel iron zinc copper", "c": "river lake sea brook"}
-    rows, marks = [], []
-    rng = np.random.default_rng(5)
-    for i in range(600):
-        k = "aaabbc"[i % 6]
-        own = rng.choice(words[k].split(), 12)
-        other = rng.choice(" ".join(words.values()).split(), 3)
-        rows.append((i, " ".join([*own, *other])))
-        if i % 2:
-            marks.append((i, k))
-    docs, domains = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, domain string")
-    targets = {"a": 0.2, "b": 0.3, "c": 0.5}
-    got = mixing.mix(docs, domains, targets, total=9000.0).toPandas()
-    assert (got.rate >= 0).all() and (abs(got.copies - got.rate) < 1).all()
-    for k, w in targets.items():
-        assert abs((got.rate * got.n_tokens * got[f"p_{k}"]).sum() / 9000 - w) < 0.01
-    truth = np.array([list("abc").index("aaabbc"[i % 6]) for i in got.doc_id])
-    assert (got[["p_a", "p_b", "p_c"]].values.argmax(axis=1) == truth).mean() > 0.95
-    assert np.allclose(got[["p_a", "p_b", "p_c"]].sum(axis=1), 1)
-
-
-def test_mixing_of_odd_rows(spark, odd_docs, clashing_docs, no_docs):
-    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0 and 1 or 0) for i in range(40)] + [(None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int")
-    domains = mixing.label_domains(labels)
-    for docs in (odd_docs, clashing_docs):
-        rows = mixing.mix(docs, domains, mixing.TARGETS, max_rate=1.0).collect()
-        assert len(rows) == docs.count() and all(0 <= r.rate <= 1 and r.copies in (0, 1) for r in rows)
-        assert {r.n_tokens for r in rows if r.doc_id in (100, 101, 102)} == {0}
-    assert mixing.mix(no_docs, domains, mixing.TARGETS).collect() == []
-    assert {r.rate for r in mixing.mix(odd_docs, domains.limit(0), mixing.TARGETS).collect()} is not None
