@@ -5,9 +5,11 @@ trie of ``simhash`` names candidates within its own budget only, and bands of mi
 pair at 0.8 shares none of 32 bands of 5 minima with a chance of 3 in a million. No candidate links without the exact
 similarity of its shingle sets.
 
-Rows of one text (but for A-Z and white space) are one node. In each band the members are compared with two heads, the
-smallest and the largest; after the components of these links, all pairs of a band that lie in different components are
-compared. Pairs left out are in one component already, so their links would change nothing.
+Rows of one text (but for A-Z and white space) are one node. Each member of a band is compared with the band's smallest
+node, so candidates grow with the members and not with their pairs. What is left are bands whose members fall into several
+components, be it that a common passage brought them together. Their members are joined by prefix filter: of two sets
+with a similarity of 0.8 each has a common shingle among its fifth of rarest ones, and a common passage's shingles are not
+rare. Pairs left out are in one component already, so their links would change nothing.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared, simhash
@@ -25,9 +27,11 @@ from . import shared, simhash
 WORDS = 5
 BANDS, ROWS = 32, 5
 _rng = np.random.default_rng(20)
-_A = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
+_A = _rng.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 2**32, BANDS * ROWS, np.uint32)
 _MIX = _rng.integers(0, 2**64, ROWS, np.uint64) | np.uint64(1)
+#: Members that are compared with one head in one group.
+GROUP = 2_000
 
 
 def normal(text: str | None) -> bytes:
@@ -40,15 +44,16 @@ def node(plain: bytes) -> int:
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """Keys of the bands as signed longs; none for an empty set."""
+    """Keys of the bands as signed longs; none for an empty set. The minima are of 32-bit mixtures of the upper halves."""
     if not len(shingles):
         return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for s in range(0, len(shingles), 1024):
-        part = shingles[s : s + 1024][None, :] * _A[:, None]
+    upper = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    for s in range(0, len(upper), 1024):
+        part = upper[s : s + 1024][None, :] * _A[:, None]
         part += _B[:, None]
         np.minimum(least, part.min(axis=1), out=least)
-    keys = (least.reshape(BANDS, ROWS) >> np.uint64(7)) * _MIX
+    keys = least.reshape(BANDS, ROWS).astype(np.uint64) * _MIX
     keys ^= keys >> np.uint64(31)
     out = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
@@ -58,12 +63,13 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, fp, n, bands) of every row: key of the text, SimHash, number of distinct shingles, keys of the bands."""
+    """(doc_id, text_hash, k, fp, n, bands) of every row: xxhash64 of the text, key of the normal text, SimHash, number of
+    distinct shingles, keys of the bands."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ks, fps, ns, bands = [], [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 plain = normal(t.as_py())
                 h = simhash.shingle_hashes(plain.split(), WORDS)
                 once = np.unique(h)
@@ -73,10 +79,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 bands.append(minima(once))
             fp = np.array(fps, np.uint64).view(np.int64)
             lists = pa.array(bands, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ks, pa.int64()), pa.array(fp), pa.array(ns, pa.int64()), lists], ["doc_id", "k", "fp", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ks, pa.int64()), pa.array(fp), pa.array(ns, pa.int64()), lists], ["doc_id", "text_hash", "k", "fp", "n", "bands"])
 
     shared.bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, k long, fp long, n long, bands array<long>")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    return picked.mapInArrow(task, "doc_id long, text_hash long, k long, fp long, n long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -96,11 +103,51 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more."""
-    side = lambda c: sets.select(F.col("k").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    return both.where(9 * common >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more.
+
+    Pairs are grouped by a, in groups of about ``GROUP``, so a hot a is spread and its set comes once for each group.
+    """
+    held = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    heads = held.join(sets.withColumnRenamed("k", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
+    dealt = pairs.join(held, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"))
+    members = dealt.join(sets.withColumnRenamed("k", "b"), "b").select("a", "part", "b", "shingles")
+    both = heads.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").isNotNull())
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.int64)
+        for batch in batches:
+            shingles = batch.column("shingles")
+            bounds, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy(zero_copy_only=False)
+            a, b, near = batch.column("a").to_numpy(), batch.column("b"), []
+            member = b.is_valid().to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                own = flat[bounds[i] : bounds[i + 1]]
+                if not member[i]:
+                    head = own
+                    continue
+                common = len(own) + len(head) - len(np.union1d(own, head))
+                if 9 * common >= 4 * (len(own) + len(head)):
+                    near.append(i)
+            if near:
+                yield pa.RecordBatch.from_arrays([pa.array(a[near]), b.take(pa.array(near))], ["a", "b"])
+
+    return both.mapInArrow(task, "a long, b long")
+
+
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """Candidates (a, b) among ``sets`` (k, n, shingles, root) whose roots differ: both hold one shingle among their
+    fifth of rarest ones (by their number of holders in ``sets``, ties by the shingle). Complete for similarity 0.8."""
+    each = sets.select("k", "n", "root", F.explode("shingles").alias("shingle"))
+    holders = each.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    # a shingle of one holder joins nothing but counts among the rarest; those come first
+    known = each.join(holders, "shingle")
+    place = F.row_number().over(Window.partitionBy("k").orderBy("holders", "shingle"))
+    shared_ones = F.count("*").over(Window.partitionBy("k"))
+    least = known.withColumn("place", F.col("n") - shared_ones + place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 0.8) + 1)
+    one = least.select("shingle", F.col("k").alias("x"), "n", "root")
+    other = least.select("shingle", F.col("k").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"))
+    fits = (F.col("root") < F.col("root_y")) & (5 * F.least("n", "n_y") >= 4 * F.greatest("n", "n_y"))
+    return one.join(other, (one.shingle == other.shingle) & fits).select(*_ordered("x", "y")).distinct()
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -108,9 +155,12 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def near_duplicates(docs: DataFrame, *, budget: int = 3) -> DataFrame:
-    """(doc_id, k, component_id) of every row; component_id as in ``simhash.near_duplicates``.
+    """(doc_id, text_hash, k, component, component_id) of every row; component_id as in ``simhash.near_duplicates``.
+
+    component is the key of the component itself, which it also has where all its ids are null.
 
     Null texts are empty, and texts without words are one node. Null ids name a component only if it has no others.
+    Repeated rows give repeated rows, an empty table none. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
     rows = shared.written(sketches(docs), "sketches")
@@ -118,8 +168,8 @@ def near_duplicates(docs: DataFrame, *, budget: int = 3) -> DataFrame:
     size = nodes.select("k", "n")
     exploded = nodes.select("k", "n", F.explode("bands").alias("band"))
     held = exploded.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi")
-    bands = shared.written(exploded.join(held, "band"), "bands")
-    heads = bands.select(F.col("k").alias("x"), F.col("lo").alias("y")).unionByName(bands.select(F.col("k").alias("x"), F.col("hi").alias("y")))
+    bands = shared.written(exploded.join(held.select("band", "lo"), "band"), "bands")
+    heads = bands.select(F.col("k").alias("x"), F.col("lo").alias("y"))
     distinct = shared.written(nodes.groupBy("fp").agg(F.min("k").alias("k")), "distinct-fingerprints")
     stars, folder = simhash.links(distinct.select("fp"), budget)
     of_fp = distinct.select("fp", "k")
@@ -131,22 +181,19 @@ def near_duplicates(docs: DataFrame, *, budget: int = 3) -> DataFrame:
     sets = shared.written(shingle_sets(docs, wanted), "shingle-sets")
     found = shared.written(similar(first, sets), "similar")
     roots = shared.written(simhash.components(found), "roots")
-    # pairs of a band that are still in different components
-    named = bands.select("band", "k", "n").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    # members of bands that still hold several components
+    named = bands.select("band", "k").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     named = shared.written(named, "named-bands")
     open_bands = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    left = named.join(open_bands, "band", "left_semi")
-    other = left.select("band", F.col("k").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"))
-    fits = (F.col("root") < F.col("root_y")) & (5 * F.least("n", "n_y") >= 4 * F.greatest("n", "n_y"))
-    cross = left.join(other, (left.band == other.band) & fits).select(*_ordered("k", "y")).distinct()
-    cross = cross.join(first, ["a", "b"], "left_anti")
+    left = named.join(open_bands, "band", "left_semi").select("k", "root").distinct()
+    cross = shared.written(prefix_pairs(sets.join(left, "k")).join(first, ["a", "b"], "left_anti"), "cross-candidates")
     edges = shared.written(found.unionByName(similar(cross, sets)), "edges")
     roots = simhash.components(edges)
     part = nodes.select("k", "rep").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = part.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_node = shared.written(part.join(least, "root").select("k", "component_id"), "components")
-    shared.discard(spark, folder, distinct, nodes, bands, first, sets, found, named, edges)
-    return rows.join(of_node, "k").select("doc_id", "k", "component_id")
+    of_node = shared.written(part.join(least, "root").select("k", F.col("root").alias("component"), "component_id"), "components")
+    shared.discard(spark, folder, distinct, nodes, bands, first, sets, found, named, cross, edges)
+    return rows.join(of_node, "k").select("doc_id", "text_hash", "k", "component", "component_id")
 
 
 def _sized(pairs: DataFrame, size: DataFrame) -> DataFrame:

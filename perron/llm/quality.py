@@ -10,6 +10,7 @@ the ridge penalty and feed the isotonic step (pool adjacent violators over a his
 from __future__ import annotations
 
 import operator
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +38,6 @@ _CLASS = np.zeros((256, len(CLASSES)))
 for _k, _v in enumerate(CLASSES.values()):
     _CLASS[list(_v), _k] = 1
 STATISTICS = ["log_bytes", "log_words", "word_bytes", "distinct_words", "repeated_next", "commonest_word", "capital_words", "distinct_lines", "line_bytes", *(f"share_{k}" for k in CLASSES)]
-_COMMON_LIMIT = 200_000
 
 
 def statistics(text: str | None) -> list[float]:
@@ -48,29 +48,29 @@ def statistics(text: str | None) -> list[float]:
     share = np.sqrt(np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASS / len(raw))
     words = raw.split()
     n = max(len(words), 1)
-    distinct = set(words)
+    times = Counter(words)
     same = sum(map(operator.eq, words, words[1:]))
-    longest = raw.count(max(distinct, key=len)) if distinct else 0
     lines = raw.split(b"\n")
     capital = sum(map(bytes.isupper, words))
     return [
-        np.log1p(len(raw)), np.log1p(len(words)), np.log1p(len(raw) / n), np.log(max(len(distinct), 1) / n) / max(1.0, np.log1p(n)), np.sqrt(same / n),
-        np.sqrt(longest / n), np.sqrt(capital / n), len(set(lines)) / len(lines), np.log1p(len(raw) / len(lines)), *share,
+        np.log1p(len(raw)), np.log1p(len(words)), np.log1p(len(raw) / n), np.log(max(len(times), 1) / n) / max(1.0, np.log1p(n)), np.sqrt(same / n),
+        np.sqrt(max(times.values(), default=0) / n), np.sqrt(capital / n), len(set(lines)) / len(lines), np.log1p(len(raw) / len(lines)), *share,
     ]
 
 
 def statistics_table(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, x array<float>) for each row."""
+    """(doc_id, text_hash, x array<float>) for each row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([statistics(t.as_py()) for t in b.column(1)], np.float32).reshape(-1, len(STATISTICS))
+            x = np.array([statistics(t.as_py()) for t in b.column(2)], np.float32).reshape(-1, len(STATISTICS))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), flat], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], ["doc_id", "text_hash", "x"])
 
     shared.bound_batches(docs.sparkSession)
-    picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return picked.mapInArrow(task, "doc_id long, x array<float>")
+    text = F.col(text_column)
+    picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    return picked.mapInArrow(task, "doc_id long, text_hash long, x array<float>")
 
 
 def remainder(doc_id: Column) -> Column:
@@ -196,7 +196,7 @@ def fit(stats: DataFrame, labels: DataFrame, *, label_column: str = "quality", f
 def score_documents(
     docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", threshold: float = 0.3, features: int = 256
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row.
+    """(doc_id, held_out, score, predicted, text_hash) for each row; text_hash is xxhash64 of the text.
 
     score: 0 to 1, higher where label 1 is likelier, non-decreasing in the ridge score. Null and empty texts are
     scored by their zero statistics. Null ids are scored and count as not held out; an empty table gives no rows.
@@ -207,7 +207,7 @@ def score_documents(
 
     def task(batches):
         for b, x in _batches(batches, width):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(model.score(x))], ["doc_id", "text_hash", "score"])
 
-    scored = stats.mapInArrow(task, "doc_id long, score double")
-    return scored.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = stats.mapInArrow(task, "doc_id long, text_hash long, score double")
+    return scored.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")

@@ -70,3 +70,30 @@ def test_pipeline_stages(spark):
         ids = now
     assert linededup.dedup_lines(docs).agg(F.sum("n_dropped")).first()[0] in (0, None)
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == ids
+
+
+def test_pipeline_stages_of_odd_rows(spark, clashing_docs, no_docs):
+    """Null ids, repeated rows, ids with two texts, clashing column names, empty tables."""
+    sf, columns = "/root/testdata/sf0.01", corpus_pipeline.COLUMNS
+    base, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    told = base.join(labels, "doc_id").where("toxic = 0 and lang = 'en' and length(text) > 500").orderBy("doc_id").collect()
+    a, b, c = [r.text for r in told if r.quality == 1][:3]
+    junk = next(r.text for r in told if r.quality == 0)
+    n = 10_000_000
+    rows = [(None, a), (None, a), (n, a), (n, a), (n, b), (n + 1, b), (None, c), (n + 2, junk), (None, junk), (n, junk), (n + 3, None), (None, "")]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], base.schema)
+    docs = base.where(~F.col("text").isin(a, b, c, junk) & (F.length("text") > 0)).unionByName(odd)
+    docs = docs.select("*", *[F.lit("?").alias(x) for x in ("_hash", "_id", "_text", "text_hash", "k", "component", "n_lines")])
+    mine = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.where(f"doc_id is null or doc_id >= {n}").collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, clashing_docs, sf).columns == columns, name
+        empty = stage(spark, no_docs, sf)
+        assert empty.columns == columns and empty.collect() == [], name
+    scored = mine(corpus_pipeline.quality(spark, docs, sf))
+    assert [x for x in scored if x[1]] == sorted([(0, a), (0, a), (n, a), (n, a), (n, b), (n + 1, b), (0, c)])
+    once = mine(corpus_pipeline.near_duplicate(spark, docs, sf))
+    assert once == sorted([(n, a), (n, b), (0, c), (n, junk), (n + 3, "")])
+    mixed = mine(corpus_pipeline.mixture(spark, docs, sf))
+    assert mixed.count((0, a)) == 2 and mixed.count((n, a)) == 2 and mixed.count((n, b)) == 1
+    packed = corpus_pipeline.packed(spark, odd, sf)
+    assert packed.where("doc_tokens = 1").count() == 2 and corpus_pipeline.packed(spark, no_docs, sf).collect() == []
