@@ -1,16 +1,19 @@
 """Op 4: exact top-k inner products by norm order, rotated partial sums and Cauchy-Schwarz residual bounds.
 
-Vectors are sorted by descending length and cut into blocks; each block holds its integer vectors, their first
-coordinates in the basis of the principal axes (SVD of the vectors' second moments) and the length of the rest. A query
-first meets the block of the longest vectors, which gives a lower bound of its k-th score. Then query blocks are dealt to
-candidate blocks (a stated query set against all rows, in blocks): a block is passed over when length times length cannot
-reach the bound, and a vector when partial sum plus product of the residual lengths cannot. What remains is scored in
-exact 64-bit integers.
+Vectors are sorted by descending length and cut into blocks, written as files in the shared folder; each holds its integer
+vectors, their first coordinates in the basis of the principal axes (SVD of the vectors' second moments) and the length of
+the rest. Query blocks meet candidate blocks (a stated query set against all rows, in blocks) in rounds of descending
+length: the longest block, then four times as many in each round. After a round each query's k-th score so far is its
+bound. A pair of blocks is dropped where length times length cannot reach any bound of the query block, and a vector
+where partial sum plus product of the residual lengths cannot. What remains is scored in exact 64-bit integers. Only
+numbers of blocks and bounds are dealt to tasks, which read the blocks they need.
 """
 
 from __future__ import annotations
 
+import functools
 import io
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,17 +24,23 @@ from pyspark.sql import functions as F
 from . import shared
 from .vectors import matrix, usable
 
-BLOCK = "block long, longest double, data binary"
+BLOCK = "block long, ids array<long>, lengths array<double>"
+SLACK = 1e-9
+#: Growth of the number of candidate blocks from round to round.
+GROWTH = 4
 
 
-def _save(**arrays: np.ndarray) -> bytes:
+def _save(uri: str, **arrays: np.ndarray) -> None:
     out = io.BytesIO()
     np.savez(out, **arrays)
-    return out.getvalue()
+    with shared.atomic_output(uri) as f:
+        f.write(out.getbuffer())
 
 
-def _load(data: bytes) -> dict[str, np.ndarray]:
-    return dict(np.load(io.BytesIO(data)))
+def _load(uri: str) -> dict[str, np.ndarray]:
+    system, path = shared.storage(uri)
+    with system.open_input_file(path) as f:
+        return dict(np.load(io.BytesIO(f.read())))
 
 
 def top(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -46,15 +55,14 @@ def top(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
 
 def meet(q: dict[str, np.ndarray], c: dict[str, np.ndarray], bound: np.ndarray, k: int):
     """Per query (place, candidate places, scores) of at most k candidates that may be among its best."""
-    slack = 1e-9
     reach = q["length"] * c["length"].max()
-    for i in np.flatnonzero(reach * (1 + slack) + 1 >= bound):
-        n = int(np.searchsorted(-c["length"], -(bound[i] - 1) / max(q["length"][i], 1e-300) * (1 - slack), side="right")) if bound[i] > 1 else len(c["ids"])
+    for i in np.flatnonzero(reach * (1 + SLACK) + 1 >= bound):
+        n = int(np.searchsorted(-c["length"], -(bound[i] - 1) / max(q["length"][i], 1e-300) * (1 - SLACK), side="right")) if bound[i] > 1 else len(c["ids"])
         if not n:
             continue
         upper = c["head"][:n] @ q["head"][i]
         upper += c["rest"][:n] * q["rest"][i]
-        upper += slack * q["length"][i] * c["length"][:n] + 1
+        upper += SLACK * q["length"][i] * c["length"][:n] + 1
         at = np.flatnonzero((upper >= bound[i]) & (c["ids"][:n] != q["ids"][i]))
         if len(at):
             score = c["x"][at] @ q["x"][i]
@@ -102,7 +110,11 @@ def exact_top_k(
         y = x.astype(float) @ axes
         return {"ids": ids, "x": x, "head": y[:, :h], "rest": np.sqrt((y[:, h:] ** 2).sum(axis=1)), "length": np.sqrt((x.astype(float) ** 2).sum(axis=1))}
 
-    def cut(size: int):
+    folder = shared.fresh_path(spark, "blocks")
+
+    def cut(kind: str, size: int):
+        shared.make_dirs(spark, f"{folder}/{kind}")
+
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
@@ -114,7 +126,10 @@ def exact_top_k(
                     t = pa.Table.from_batches(held)
                     part, left = t.slice(0, size), t.slice(size)
                     got = arrays(part.column("id").to_numpy(), matrix(part.column("x").combine_chunks(), width, np.int64))
-                    yield pa.RecordBatch.from_pydict({"block": [number], "longest": [float(got["length"].max())], "data": [_save(**got)]})
+                    _save(f"{folder}/{kind}/{number}.npz", **got)
+                    lengths = got["length"] if kind == "query" else got["length"].max(keepdims=True)
+                    ids = got["ids"] if kind == "query" else got["ids"][:0]
+                    yield pa.RecordBatch.from_pydict({"block": [number], "ids": pa.array([ids], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.float64()))})
                     number, held, n = number + 1, left.to_batches(), left.num_rows
 
             for b in batches:
@@ -125,48 +140,54 @@ def exact_top_k(
 
         return task
 
-    dealt = rows.select("id", "x", "square").repartitionByRange(F.desc("square")).sortWithinPartitions(F.desc("square"), "id")
-    candidates = shared.written(dealt.mapInArrow(cut(block), BLOCK), "candidate-blocks")
-    asked = rows.where(F.col("id") % every == 0).select("id", "x", "square").repartitionByRange(F.desc("square")).sortWithinPartitions(F.desc("square"), "id")
-    queries = shared.written(asked.mapInArrow(cut(query_block), BLOCK), "query-blocks")
-    first = candidates.orderBy(F.desc("longest"), "block").select("data").first()
-    if first is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    longest = bytes(first.data)  # one block: at most ``block`` vectors
-
-    def seed(batches):
-        c = _load(longest)
-        for b in batches:
-            for number, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist()):
-                q = _load(data)
-                bound = np.full(len(q["ids"]), -(2.0**62))
-                for i, _, score in meet(q, c, bound, k):
-                    if len(score) == k:
-                        bound[i] = score[-1]
-                yield pa.RecordBatch.from_pydict({"number": [number], "query": [_save(bound=bound, **q)]})
-
-    seeded = shared.written(queries.mapInArrow(seed, "number long, query binary"), "seeded-queries")
-    places = [r.block for r in candidates.select("block").orderBy("block").collect()]
-    to = F.explode(F.array(*[F.lit(p) for p in places])) if len(places) <= 1000 else None
-    if to is None:
-        listing = F.broadcast(spark.createDataFrame([(places,)], "places array<long>"))
-        spread = seeded.join(listing, F.lit(True)).select("number", "query", F.explode("places").alias("block"))
-    else:
-        spread = seeded.select("number", "query", to.alias("block"))
-    pairs = spread.join(candidates.select("block", "data"), "block")
+    def blocks_of(kind: str, vectors: DataFrame, size: int) -> DataFrame:
+        dealt = vectors.select("id", "x", "square").repartitionByRange(F.desc("square")).sortWithinPartitions(F.desc("square"), "id")
+        return shared.written(dealt.mapInArrow(cut(kind, size), BLOCK), f"{kind}-blocks")
+
+    candidates = blocks_of("candidate", rows, block)
+    queries = blocks_of("query", rows.where(F.col("id") % every == 0), query_block)
+    # places of candidate blocks by descending length: one row a partition comes to the driver
+    sizes = sorted((r.part, r.n) for r in candidates.groupBy(F.shiftrightunsigned("block", 32).alias("part")).agg(F.count("*").alias("n")).collect())
+    starts = list(itertools.accumulate((n for _, n in sizes), initial=0))
+    offsets = spark.createDataFrame([(p, a) for (p, _), a in zip(sizes, starts)], "part long, first long")
+    within = F.col("block").bitwiseAND(0xFFFFFFFF)
+    listed = candidates.withColumn("part", F.shiftrightunsigned("block", 32)).join(offsets, "part")
+    listed = listed.select((F.col("first") + within).alias("place"), "block", F.get("lengths", F.lit(0)).alias("longest"))
+    each = queries.select(F.col("block").alias("number"), F.posexplode(F.arrays_zip("ids", "lengths")).alias("pos", "q")).select("number", "pos", F.col("q.ids").alias("query_id"), F.col("q.lengths").alias("length"))
+    best = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
 
-    def work(batches):
-        for b in batches:
-            for query, data in zip(b.column("query").to_pylist(), b.column("data").to_pylist()):
-                q, c = _load(query), _load(data)
-                got = list(meet(q, c, q["bound"], k))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        candidate = functools.lru_cache(2)(lambda n: _load(f"{folder}/candidate/{n}.npz"))
+        query = functools.lru_cache(64)(lambda n: _load(f"{folder}/query/{n}.npz"))
+        for batch in batches:
+            bounds = batch.column("bounds")
+            for i, (number, at) in enumerate(zip(batch.column("number").to_pylist(), batch.column("block").to_pylist())):
+                q, c = query(number), candidate(at)
+                got = list(meet(q, c, bounds[i].values.to_numpy(zero_copy_only=False), k))
                 if got:
                     ids = np.concatenate([np.full(len(at), q["ids"][i]) for i, at, _ in got])
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([c["ids"][at] for _, at, _ in got])), pa.array(np.concatenate([s for *_, s in got]))], ["query_id", "vec_id", "score"])
 
-    found = pairs.select("query", "data").mapInArrow(work, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    lo, size = 0, 1
+    while lo < starts[-1]:
+        hi = min(starts[-1], lo + size)
+        bound = F.coalesce(F.col("score").cast("double"), F.lit(-(2.0**62)))
+        told = each.join(best.where(F.col("rank") == k).select("query_id", "score"), "query_id", "left")
+        # the least length of a candidate that can still be among the best of some query of the block
+        need = F.when(F.col("length") > 0, (bound - 1) / (F.col("length") * (1 + SLACK))).otherwise(F.lit(-(2.0**62)))
+        asked = told.groupBy("number").agg(F.min(need).alias("need"), F.transform(F.array_sort(F.collect_list(F.struct("pos", bound.alias("bound")))), lambda x: x["bound"]).alias("bounds"))
+        round_ = listed.where(F.col("place").between(lo, hi - 1))
+        pairs = asked.select("number", "need", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi - 1).cast("long"))).alias("place"))
+        pairs = pairs.join(round_, "place").where("longest >= need").select("number", "place", "block").join(asked.select("number", "bounds"), "number")
+        dealt = pairs.repartitionByRange("place", "number").sortWithinPartitions("place", "number").select("number", "block", "bounds")
+        found = dealt.mapInArrow(work, "query_id long, vec_id long, score long")
+        both = best.select("query_id", "vec_id", "score").unionByName(found)
+        following = shared.written(both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
+        shared.discard(spark, best)
+        best, lo, size = following, hi, size * GROWTH
+    shared.discard(spark, folder, rows, candidates, queries)
+    return best
 
 
 SQL = """
