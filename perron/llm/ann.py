@@ -3,7 +3,8 @@
 Every vector keeps a list of ``degree`` neighbours. Lists start from blocks of vectors that lie next to each other on a
 few random projections. In each round of NN-descent a vector sends itself to all its neighbours, a join on the
 neighbour's id; where vectors meet at a common neighbour, every two of them are compared and each keeps what improves its
-list. Rounds end when few list entries change. Vectors travel as 8-bit codes with a scale each.
+list. Meetings larger than ``meet`` are dealt by a hash before the shuffle, so a hub that a third of all vectors list is
+many meetings and not one. Rounds end when few list entries change. Vectors travel as 8-bit codes with a scale each.
 
 The graph, with the codes of neighbours beside each list, is written as block files in the shared folder. A query's beam
 starts from its own list; in each hop its best unexpanded entries are dealt to the blocks that hold them, compared there,
@@ -32,6 +33,7 @@ class Settings:
     projections: int = 2
     block: int = 512  # neighbours on a projection that are compared at the start
     meet: int = 96  # vectors compared at once where they meet; larger meetings are dealt into such groups
+    visit: int = 20_000  # steps of queries that one task takes to one block; more are dealt to several tasks
     improve: int = 8  # best partners that a vector takes from one meeting
     rounds: int = 7
     settled: float = 0.04  # share of changed entries at which rounds end
@@ -151,14 +153,27 @@ def merged(graph: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return both.mapInArrow(task, LISTS)
 
 
+def spread(rows: DataFrame, key: str, by: list, most: int) -> DataFrame:
+    """``rows`` with a column part: 0 where ``key`` has at most ``most`` rows, else dealt to as many parts as that takes.
+
+    Keys with more rows are counted map-side and joined back; they are few, and a hot one spreads in that join as well.
+    """
+    hot = rows.groupBy(key).agg(F.count("*").alias("held")).where(F.col("held") > most)
+    hot = hot.select(F.col(key).alias("_hot"), F.ceil(F.col("held") / most).alias("_parts"))
+    part = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")
+    return rows.join(hot, rows[key] == hot["_hot"], "left").withColumn("part", part).drop("_hot", "_parts")
+
+
 def descend_round(graph: DataFrame, width: int, s: Settings, number: int) -> DataFrame:
     """One round: vectors meet at their neighbours, and at themselves."""
     floor = F.when(F.size("sim") >= s.degree, F.element_at("sim", -1)).otherwise(F.lit(float("-inf")).cast("float"))
     sent = graph.select("id", "code", "scale", floor.alias("floor"), F.explode(F.concat("nbr", F.array("id"))).alias("at"))
-    dealt = sent.repartition("at").sortWithinPartitions("at", F.xxhash64("id", F.lit(number)))
+    sent = spread(sent, "at", ["id", F.lit(number)], 2 * s.meet)
+    dealt = sent.repartition("at", "part").sortWithinPartitions("at", "part", F.xxhash64("id", F.lit(number)))
+    dealt = dealt.select("id", "code", "scale", "floor", F.xxhash64("at", "part").alias("at"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "at"):
+        for t in whole_groups(batches, "at", ordered=False):
             at, ids, floor = (t.column(c).to_numpy() for c in ("at", "id", "floor"))
             x = codes_of(t, width)
             cuts = np.r_[0, np.flatnonzero(np.diff(at)) + 1, len(at)]
@@ -280,7 +295,8 @@ def search(graph: DataFrame, queries: DataFrame, width: int, s: Settings) -> Dat
         now = beams.withColumn("open", open_at)
         floor = F.when(F.size("sim") >= s.beam, F.element_at("sim", -1)).otherwise(F.lit(float("-inf")).cast("float"))
         todo = now.select("q", "code", "scale", floor.alias("floor"), F.explode(F.transform("open", lambda i: F.get("nbr", i))).alias("to"))
-        dealt = todo.withColumn("block", _block("to", blocks)).repartition(blocks, "block").sortWithinPartitions("block", "q")
+        todo = spread(todo.withColumn("block", _block("to", blocks)), "block", ["q"], s.visit)
+        dealt = todo.repartition("block", "part").sortWithinPartitions("block", "q")
         found = dealt.mapInArrow(visit, "q long, nbr array<long>, sim array<float>")
         found = found.select("q", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"), "nbr", "sim", F.transform("nbr", lambda v: F.lit(False)).alias("done"))
         marked = now.select("q", "code", "scale", "nbr", "sim", F.transform("done", lambda d, i: d | F.array_contains("open", i)).alias("done"))
@@ -342,7 +358,15 @@ def nearest(df: DataFrame, *, id_column: str = "vec_id", vector_column: str = "e
     scored = pairs.select("q", "rep", "vx", "qx").mapInArrow(score, "q long, rep long, score double")
     order = lambda key, name: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), name))
     leading = scored.withColumn("rank", order("q", "rep")).where(F.col("rank") <= k + 1).drop("rank")
+    # what comes after k + 1 copies of strictly nearer vectors cannot matter
+    held = first.groupBy("rep").agg(F.count("*").alias("held"))
+    nearer = Window.partitionBy("q").orderBy(F.desc("score"))
+    level = F.sum("held").over(nearer.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("held").over(Window.partitionBy("q", "score"))
+    leading = leading.join(held, "rep").withColumn("before", level).where(F.col("before") <= k).drop("before", "held")
     each = leading.join(first, "rep").withColumn("rank", order("q", "vec_id")).where(F.col("rank") <= k + 1)
     found = each.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("found"))
-    others = asked.join(found, "q").select("query_id", F.slice(F.filter("found", lambda v: v["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+    parts = asked.groupBy("q").agg(F.ceil(F.count("*") / settings.visit).alias("parts"))
+    found = found.join(parts, "q").select("q", "found", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = asked.join(parts, "q").select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part"))
+    others = dealt.join(found, ["q", "part"]).select("query_id", F.slice(F.filter("found", lambda v: v["vec_id"] != F.col("query_id")), 1, k).alias("found"))
     return others.select("query_id", F.posexplode("found").alias("at", "v")).select("query_id", (F.col("at") + 1).alias("rank"), "v.vec_id", "v.score")

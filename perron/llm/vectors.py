@@ -39,8 +39,11 @@ def lists(owner_sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(owner_sizes)].astype(np.int32)), pa.array(values))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows that end where the (sorted) key changes; a larger group comes whole."""
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000, ordered: bool = True) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that end where the key changes; a larger group comes whole.
+
+    Rows of a key are neighbours, in ascending order of the key unless not ``ordered``.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
@@ -51,7 +54,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000
         if size < rows:
             continue
         k = b.column(key).to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(k, k[-1], side="left"))
+        last = int(np.searchsorted(k, k[-1], side="left")) if ordered else int(np.max(np.flatnonzero(k != k[-1]), initial=-1)) + 1
         if last == 0 and (len(held) == 1 or held[-2].column(key)[-1].as_py() == k[0]):
             continue
         done = [*held[:-1], b.slice(0, last)]

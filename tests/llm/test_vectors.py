@@ -109,3 +109,26 @@ def test_nearest_among_copies_only(spark):
     df = spark.createDataFrame([(i, [1.0, -2.0], 0) for i in range(50)], SCHEMA)
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df).collect())
     assert got == sorted((q, n + 1, v, 5.0) for q in (0, 20, 40) for n, v in enumerate([v for v in range(50) if v != q][:20]))
+
+
+def test_hubs_are_dealt_to_tasks(spark):
+    """Vectors of very unequal lengths: few long ones are neighbours of most, yet no part of a hub holds more than its share."""
+    x = rows(3000, 16, spread=True)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    got = ann.nearest(df).collect()
+    want = {w[:3] for w in slow(np.arange(3000), x.astype(float), 20, 20)}
+    assert len({(r.query_id, r.rank, r.vec_id) for r in got} & want) / len(want) >= 0.95
+    sent = spark.range(5000).select((F.col("id") % 3 * F.col("id") % 7).alias("at"), "id").union(spark.range(4000).select(F.lit(99), F.col("id")))
+    held = ann.spread(sent, "at", ["id"], 200).groupBy("at", "part").count().collect()
+    assert sum(r["count"] for r in held) == 9000 and max(r["count"] for r in held) < 300 and len([r for r in held if r["at"] == 99]) == 20
+
+
+def test_whole_groups_of_unordered_keys():
+    import pyarrow as pa
+
+    from perron.llm.vectors import whole_groups
+
+    keys = np.repeat([5, 1, 9, 2, 7], [3, 10, 1, 8, 2])
+    batches = [pa.record_batch({"k": keys[a : a + 4]}) for a in range(0, len(keys), 4)]
+    tables = [t.column("k").to_pylist() for t in whole_groups(iter(batches), "k", 5, ordered=False)]
+    assert sum(tables, []) == keys.tolist() and all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
