@@ -31,7 +31,7 @@ _A = _rng.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 2**32, BANDS * ROWS, np.uint32)
 _MIX = _rng.integers(0, 2**64, ROWS, np.uint64) | np.uint64(1)
 #: Members that are compared with one head in one group.
-GROUP = 2_000
+GROUP = 256
 
 
 def normal(text: str | None) -> bytes:
@@ -135,19 +135,24 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
-    """Candidates (a, b) among ``sets`` (k, n, shingles, root) whose roots differ: both hold one shingle among their
-    fifth of rarest ones (by their number of holders in ``sets``, ties by the shingle). Complete for similarity 0.8."""
+    """Candidates (a, b) among ``sets`` (k, n, shingles, root) whose roots differ. Complete for similarity 0.8.
+
+    Shingles are ordered by their number of holders in ``sets``, ties by the shingle. Two sets with that similarity share
+    a shingle among their fifth of rarest ones; and from the first shingle that they share on, each must have as many left
+    as their intersection needs. So sets that hold much of their own meet nobody, however many hold the rest.
+    """
     each = sets.select("k", "n", "root", F.explode("shingles").alias("shingle"))
     holders = each.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
     # a shingle of one holder joins nothing but counts among the rarest; those come first
     known = each.join(holders, "shingle")
     place = F.row_number().over(Window.partitionBy("k").orderBy("holders", "shingle"))
     shared_ones = F.count("*").over(Window.partitionBy("k"))
-    least = known.withColumn("place", F.col("n") - shared_ones + place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 0.8) + 1)
-    one = least.select("shingle", F.col("k").alias("x"), "n", "root")
-    other = least.select("shingle", F.col("k").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"))
+    rarest = known.withColumn("place", F.col("n") - shared_ones + place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 0.8) + 1)
+    one = rarest.select("shingle", F.col("k").alias("x"), "n", "root", (F.col("n") - F.col("place") + 1).alias("left"))
+    other = rarest.select("shingle", F.col("k").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"), (F.col("n") - F.col("place") + 1).alias("left_y"))
     fits = (F.col("root") < F.col("root_y")) & (5 * F.least("n", "n_y") >= 4 * F.greatest("n", "n_y"))
-    return one.join(other, (one.shingle == other.shingle) & fits).select(*_ordered("x", "y")).distinct()
+    enough = 9 * F.least("left", "left_y") >= 4 * (F.col("n") + F.col("n_y"))
+    return one.join(other, (one.shingle == other.shingle) & fits & enough).select(*_ordered("x", "y")).distinct()
 
 
 def _ordered(a: str, b: str) -> list[Column]:
