@@ -45,6 +45,8 @@ class Settings:
     seed: int = 11
 
 
+#: Largest table of hot keys that is broadcast.
+HOT_KEYS = 50_000
 LISTS = "id long, code binary, scale float, nbr array<long>, sim array<float>, fresh long"
 
 
@@ -156,12 +158,16 @@ def merged(graph: DataFrame, found: DataFrame, k: int) -> DataFrame:
 def spread(rows: DataFrame, key: str, by: list, most: int) -> DataFrame:
     """``rows`` with a column part: 0 where ``key`` has at most ``most`` rows, else dealt to as many parts as that takes.
 
-    Keys with more rows are counted map-side and joined back; they are few, and a hot one spreads in that join as well.
+    Keys with more rows are counted map-side. Up to ``HOT_KEYS`` of them are broadcast, so rows are shuffled once; more
+    are joined by shuffle, in which a hot key spreads as a skewed one.
     """
     hot = rows.groupBy(key).agg(F.count("*").alias("held")).where(F.col("held") > most)
-    hot = hot.select(F.col(key).alias("_hot"), F.ceil(F.col("held") / most).alias("_parts"))
+    hot = shared.written(hot.select(F.col(key).alias("_hot"), F.ceil(F.col("held") / most).alias("_parts")), "hot-keys")
+    n = hot.limit(HOT_KEYS + 1).count()
+    if not n:
+        return rows.withColumn("part", F.lit(0))
     part = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")
-    return rows.join(hot, rows[key] == hot["_hot"], "left").withColumn("part", part).drop("_hot", "_parts")
+    return rows.join(F.broadcast(hot) if n <= HOT_KEYS else hot, rows[key] == hot["_hot"], "left").withColumn("part", part).drop("_hot", "_parts")
 
 
 def descend_round(graph: DataFrame, width: int, s: Settings, number: int) -> DataFrame:
