@@ -19,6 +19,7 @@ from . import shared
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Least number of parts of a line's holders; a quarter of the shuffle partitions where that is more.
 SALTS = 64
 
 
@@ -32,11 +33,11 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, id_column: str, text_column: str, min_chars: int) -> DataFrame:
-    text = F.coalesce(F.col(text_column), F.lit(""))
+    text, salts = F.coalesce(F.col(text_column), F.lit("")), max(SALTS, shared.parallelism(docs.sparkSession) // 4)
     each = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(lower_ascii(text), "\n")).alias("pos", "line"))
     key = F.btrim("line", F.lit(BLANKS))
     return each.select("doc_id", "text_hash", "pos", key.alias("key")).where(F.char_length("key") >= min_chars).select(
-        F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_hash", "pos", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+        F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_hash", "pos", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")
     )
 
 

@@ -1,3 +1,6 @@
+import json
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -24,6 +27,52 @@ def test_levels_and_problems(spark):
     }
 
 
+def slow_levels(after):
+    """Levels by repeated sweeps; what never gets one is on or behind a cycle."""
+    level = {}
+    while True:
+        free = [c for c, ps in after.items() if c not in level and all(p in level for p in ps if p in after)]
+        if not free:
+            return {c: level.get(c) for c in after}
+        level.update({c: max([level[p] + 1 for p in after[c] if p in after], default=0) for c in free})
+
+
+def test_random_calls_against_brute_force(spark):
+    """Calls after several others, unknown ones and themselves, in cycles, with arguments of every kind; links both ways."""
+    rng = random.Random(11)
+    ids = [f"c{i}" for i in range(160)]
+    after = {c: [rng.choice([*ids[max(0, i - 12) : i], "gone"]) for _ in range(rng.choice([0, 1, 1, 2, 3]))] for i, c in enumerate(ids)}
+    for i in (90, 140):  # cycles
+        after[ids[i]].append(ids[i + 1])
+        after[ids[i + 1]].append(ids[i])
+    kinds = {"string": "a", "integer": 3, "number": 2.5, "boolean": True, "object": {"z": 1, "a": [None]}, "array": [1, "x"], "null": None}
+    fits = lambda v, t: t == {str: "string", bool: "boolean", int: "integer", float: "number", dict: "object", list: "array", type(None): "null"}[type(v)] or (t == "number" and type(v) is int)
+    schemas = {f"t{n}": [(f"p{k}", rng.choice(list(kinds)), rng.random() < 0.5) for k in range(rng.randint(0, 4))] for n in range(6)}
+    rows, want = [], {}
+    levels = slow_levels(after)
+    for c in ids:
+        name, args = rng.choice([*schemas, "t9"]), {f"p{k}": rng.choice(list(kinds.values())) for k in range(rng.randint(0, 5))}
+        raw = rng.choice(["{", "[1]", None]) if rng.random() < 0.1 else json.dumps(dict(rng.sample(list(args.items()), len(args))), ensure_ascii=False)
+        rows.append((c, name, raw, after[c]))
+        if name not in schemas:
+            problems = ["no such tool"]
+        elif raw is None or raw[0] != "{" or raw == "{":
+            problems = ["not an object"]
+        else:
+            known = {p: (t, need) for p, t, need in schemas[name]}
+            problems = sorted([f"missing: {p}" for p, (_, need) in known.items() if need and p not in args] + [f"unknown: {a}" for a in args if a not in known] + [f"type: {a}" for a, v in args.items() if a in known and not fits(v, known[a][0])])
+        canonical = json.dumps(args, sort_keys=True, separators=(",", ":"), ensure_ascii=False) if raw and raw[0] == "{" and raw != "{" else None
+        want[c] = (levels[c], problems, canonical)
+    calls = chat.topological(chat.validate(spark.createDataFrame(rows, CALLS), spark.createDataFrame(list(schemas.items()), SCHEMAS)))
+    results = spark.createDataFrame([(f"c{i}", f"r{i}") for i in range(0, 200, 3)] + [(None, "r")], "call_id string, text string")
+    told, linked = chat.link(calls, results)
+    got = {r.call_id: r for r in told.collect()}
+    assert {c: (r.level, r.problems) for c, r in got.items()} == {c: w[:2] for c, w in want.items()}
+    assert all(got[c].arguments == w[2] for c, w in want.items() if w[2] is not None)
+    assert {c for c, r in got.items() if r.answered} == {f"c{i}" for i in range(0, 160, 3)} and None in levels.values()
+    assert sorted(r.linked for r in linked.collect()) == [False] * 14 + [True] * 54
+
+
 def test_long_chain(spark):
     n = 300
     calls = spark.createDataFrame([(f"c{i}", "t", "{}", [f"c{i - 1}"]) for i in range(n)], CALLS)
