@@ -1,24 +1,25 @@
 """Fixed values of the delay features. They must not change, or results change."""
 
 # Public holidays.
-HOLIDAYS = """
-2022-01-01 2022-04-17 2022-04-18 2022-05-01 2022-05-26 2022-06-05 2022-06-06 2022-07-21 2022-08-15 2022-11-01 2022-11-11 2022-12-25
-2023-01-01 2023-04-09 2023-04-10 2023-05-01 2023-05-18 2023-05-28 2023-05-29 2023-07-21 2023-08-15 2023-11-01 2023-11-11 2023-12-25
-2024-01-01 2024-03-31 2024-04-01 2024-05-01 2024-05-09 2024-05-19 2024-05-20 2024-07-21 2024-08-15 2024-11-01 2024-11-11 2024-12-25
-""".split()
+HOLIDAYS = [
+    "2022-01-01", "2022-04-17", "2022-04-18", "2022-05-01", "2022-05-26", "2022-06-05", "2022-06-06", "2022-07-21", "2022-08-15", "2022-11-01", "2022-11-11", "2022-12-25",
+    "2023-01-01", "2023-04-09", "2023-04-10", "2023-05-01", "2023-05-18", "2023-05-28", "2023-05-29", "2023-07-21", "2023-08-15", "2023-11-01", "2023-11-11", "2023-12-25",
+    "2024-01-01", "2024-03-31", "2024-04-01", "2024-05-01", "2024-05-09", "2024-05-19", "2024-05-20", "2024-07-21", "2024-08-15", "2024-11-01", "2024-11-11", "2024-12-25",
+]
 # School holidays, both ends included.
 SCHOOL_HOLIDAYS = [
-    tuple(x.split("/"))
-    for x in """
-2022-02-28/2022-03-06 2022-04-04/2022-04-18 2022-07-01/2022-08-31 2022-10-24/2022-11-06 2022-12-26/2023-01-08
-2023-02-20/2023-03-05 2023-04-03/2023-04-16 2023-05-01/2023-05-14 2023-07-01/2023-08-31 2023-10-23/2023-11-05 2023-12-25/2024-01-07
-2024-02-12/2024-02-18 2024-02-26/2024-03-10 2024-04-01/2024-04-14 2024-04-29/2024-05-12 2024-07-01/2024-08-31 2024-10-21/2024-11-03 2024-12-23/2025-01-05
-""".split()
-]
+    ("2022-02-28", "2022-03-06"), ("2022-04-04", "2022-04-18"), ("2022-07-01", "2022-08-31"), ("2022-10-24", "2022-11-06"),
+    ("2022-12-26", "2023-01-08"), ("2023-02-20", "2023-03-05"), ("2023-04-03", "2023-04-16"), ("2023-05-01", "2023-05-14"),
+    ("2023-07-01", "2023-08-31"), ("2023-10-23", "2023-11-05"), ("2023-12-25", "2024-01-07"), ("2024-02-12", "2024-02-18"),
+    ("2024-02-26", "2024-03-10"), ("2024-04-01", "2024-04-14"), ("2024-04-29", "2024-05-12"), ("2024-07-01", "2024-08-31"),
+    ("2024-10-21", "2024-11-03"), ("2024-12-23", "2025-01-05"),
+]
 CALENDAR = ("2010-01-01", "2030-12-31")
 # Stations of the Brussels junction and of the hubs, as normalised names.
-JUNCTION = """BRUSSEL-NOORD BRUXELLES-NORD BRUSSEL-CENTRAAL BRUXELLES-CENTRAL BRUSSEL-KAPELLEKERK BRUXELLES-CHAPELLE
-BRUSSEL-ZUID BRUXELLES-MIDI BRUSSEL-CONGRES BRUXELLES-CONGRES""".split()
+JUNCTION = [
+    "BRUSSEL-NOORD", "BRUXELLES-NORD", "BRUSSEL-CENTRAAL", "BRUXELLES-CENTRAL", "BRUSSEL-KAPELLEKERK",
+    "BRUXELLES-CHAPELLE", "BRUSSEL-ZUID", "BRUXELLES-MIDI", "BRUSSEL-CONGRES", "BRUXELLES-CONGRES",
+]
 HUBS = {
     "schaerbeek": ["SCHAARBEEK", "SCHAERBEEK"],
     "bruxelles_midi": ["BRUSSEL-ZUID", "BRUXELLES-MIDI"],

@@ -70,13 +70,13 @@ def trip_ids(train: Column, day: Column) -> tuple[Column, Column]:
 
 
 def flexible_date(x: Column) -> Column:
-    """DAT-13: yyyy-MM-dd, yyyyMMdd or ddMMMyyyy; else null."""
+    """DAT-13: yyyy-MM-dd, yyyyMMdd or ddMMMyyyy; else the day of what reads as a timestamp, else null."""
     t = F.trim(x)
     shapes = ((r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{8}$", "yyyyMMdd"), (r"^\d{2}[A-Za-z]{3}\d{4}$", "ddMMMyyyy"))
     out = None
     for pattern, form in shapes:
         out = (F if out is None else out).when(t.rlike(pattern), F.try_to_date(F.initcap(t) if form[0] == "d" else t, form))
-    return out
+    return out.otherwise(F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]"), t.try_cast("timestamp_ntz").cast("date")))
 
 
 def flexible_seconds(x: Column) -> Column:
@@ -88,6 +88,36 @@ def flexible_seconds(x: Column) -> Column:
     return F.when(fits, part(1) * 3600 + part(3) * 60 + part(5))
 
 
+def parsed_instant(x: Column, zone: str = "Europe/Brussels") -> Column:
+    """DAT-12: UTC time of a text: an instant where it ends in Z or an offset, else a local time of ``zone`` in one of the
+    shapes yyyy-MM-dd or yyyyMMdd, alone or followed by HH, HH:mm, HHmm or HH:mm:ss; else null."""
+    t = F.trim(x)
+    shape = r"^(\d{4})-?(\d{2})-?(\d{2})(?:[T ](\d{2})(?::?(\d{2})(?::(\d{2}))?)?)?$"
+    part = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(t, shape, i), F.lit("")), F.lit(default))
+    plain = F.concat(part(1, ""), F.lit("-"), part(2, ""), F.lit("-"), part(3, ""), F.lit(" "), part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"))
+    zoned = t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$")
+    local = F.convert_timezone(F.lit(zone), F.lit("UTC"), plain.try_cast("timestamp_ntz"))
+    instant = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(zoned, instant).when(t.rlike(shape), local)
+
+
+def utc_hour_number(local: Column, zone: str = "Europe/Brussels") -> Column:
+    """Hours since 1970 in UTC of a local time without zone."""
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    return (F.unix_date(utc.cast("date")) * 24 + F.hour(utc)).cast("int")
+
+
+def planned_time(day: Column, *clocks: Column) -> Column:
+    """DAT-01: day and the first of the clock texts (HH:MM:SS) that is readable; null without one."""
+    readable = [F.when(c.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"), clock_seconds(c)) for c in clocks]
+    return at_seconds(day, F.coalesce(*readable))
+
+
+def day_before(day: Column) -> Column:
+    """DAT-11: the day before as text."""
+    return F.date_format(F.date_sub(day, 1), "yyyy-MM-dd")
+
+
 def utc_hour_key(local: Column, zone: str = "Europe/Brussels") -> Column:
     """DAT-12: yyyy-MM-dd-HH in UTC of a local time without zone, floored to the hour."""
     return F.date_format(F.to_utc_timestamp(F.date_trunc("HOUR", local.cast("timestamp")), zone), "yyyy-MM-dd-HH")

@@ -13,6 +13,11 @@ def delay_minutes(seconds):
     return clip(seconds / 60.0, -60.0, 240.0)
 
 
+def target_minutes(seconds):
+    """Delay in minutes between -20 and 240."""
+    return clip(seconds / 60.0, -20.0, 240.0)
+
+
 def daily_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     """Daily mean, sample deviation and share below 6 minutes; a null delay counts as 0 here."""
     x = F.coalesce("delay_min", F.lit(0.0))

@@ -53,6 +53,17 @@ class Ridge:
         return out
 
 
+def naive_scale(target_mean: float, naive_mean: float | None) -> float:
+    """NAI-01: 60 where the target's mean tells seconds against a naive column in minutes (more than 20 times as large)."""
+    return 60.0 if naive_mean is not None and target_mean is not None and target_mean > 20 * naive_mean else 1.0
+
+
+def naive(column: str, by: dict[str, tuple[float, float]], scale: float = 1.0) -> Column:
+    """RDG-03: the scaled column as the naive prediction, back in its own unit times ``scale``."""
+    mean, std = by.get(column, (0.0, 1.0))
+    return (F.col(column) * std + mean) * scale
+
+
 def solve(g: np.ndarray, columns: list[str], alpha: float) -> Ridge:
     """(X'X + alpha I)^-1 X'(y - mean y) with the mean as intercept; columns are expected standardised."""
     n = max(g[0, 0], 1.0)

@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 from ..constants import ALL_TIERS, DEFAULT_STATION, OWN_TIERS, REACH_HOURS, WEATHER_DEFAULTS
 from ..functions.geo import haversine_atan2
 
-STATION_LIMIT = 1_000
+#: Weather stations in one array.
+STATION_SLICE = 1_000
 HOURLY_FROM = 169
 
 
-def nearest_station(places: DataFrame, stations: DataFrame, max_km: float = 50.0) -> DataFrame:
+def nearest_station(places: DataFrame, stations: DataFrame, max_km: float = 50.0, slice_size: int = STATION_SLICE) -> DataFrame:
     """JOI-21: (place_id, station_id, distance_km, no_station); the first station (by ordinal) wins ties.
 
-    Stations are one broadcast array of at most ``STATION_LIMIT`` entries, so no pairs are shuffled; more are refused.
+    Stations come as arrays of ``slice_size`` entries, so no pairs are shuffled: one slice is broadcast; of several, each
+    place meets every slice and keeps the best. ``ordinal`` numbers stations from 0 or 1.
     """
-    if stations.limit(STATION_LIMIT + 1).count() > STATION_LIMIT:
-        raise ValueError(f"more than {STATION_LIMIT} stations")
-    listed = stations.agg(F.array_sort(F.collect_list(F.struct("ordinal", "station_id", "s_lat", "s_lon"))).alias("stations"))
-    both = places.join(F.broadcast(listed))
+    entry = F.struct("ordinal", "station_id", "s_lat", "s_lon")
+    sliced = stations.groupBy(F.floor(F.col("ordinal") / slice_size).alias("slice")).agg(F.array_sort(F.collect_list(entry)).alias("stations"))
+    numbers = [r.slice for r in sliced.select("slice").collect()]  # one for each slice
+    each = places.withColumn("slice", F.explode(F.array(*[F.lit(n) for n in numbers]).cast("array<long>")))
+    both = each.join(F.broadcast(sliced) if len(numbers) <= 1 else sliced, "slice")
     far = F.transform("stations", lambda s: F.struct(haversine_atan2(F.col("lat"), F.col("lon"), s["s_lat"], s["s_lon"]).alias("km"), s["ordinal"].alias("ordinal"), s["station_id"].alias("station_id")))
     best = both.select("place_id", F.array_min(far).alias("b"))
+    if len(numbers) > 1:
+        best = best.groupBy("place_id").agg(F.min("b").alias("b"))
     return best.select("place_id", F.col("b.station_id").alias("station_id"), F.round("b.km", 3).alias("distance_km"), (F.col("b.km") > max_km).alias("no_station"))
 
 
@@ -39,26 +44,37 @@ def is_extreme(peak: Column, wind: Column, rain: Column, t: Column, cloud: Colum
     return ((peak > 25.0) | (wind > 20.0) | (rain > 10.0) | (t < -5.0) | (t > 35.0) | ((cloud >= 8.0) & (humidity >= 95.0))).cast("int")
 
 
-def weather_features(rows: DataFrame, hourly: DataFrame, default: str = DEFAULT_STATION) -> DataFrame:
-    """JOI-15/16: own station if temperature and cloud are known there, else the default station for all values, else
-    constants; and the temperature of the day before. rows: station, date, hour."""
+def resolved_hours(keys: DataFrame, hourly: DataFrame, default: str = DEFAULT_STATION) -> DataFrame:
+    """JOI-15/16 once for each (station, date, hour) in ``keys``: own station if temperature and cloud are known there,
+    else the default station for all values, else constants; ``before`` is the temperature of the day before.
+
+    Each observation stands for its own day and for the next one, at its own station and, if it is of the default
+    station, for all others; so the four lookups are one aggregate and one join on the hours that rows ask for.
+    """
     names = list(WEATHER_DEFAULTS)
+    days = F.explode(F.array(F.struct(F.lit(0).alias("back"), F.col("date").alias("day")), F.struct(F.lit(1).alias("back"), F.date_add("date", 1).alias("day")))).alias("x")
+    seen = hourly.select("station", F.col("hour").cast("int").alias("hour"), *names, days)
+    of = lambda back, c: F.max(F.when(F.col("x.back") == back, F.col(c)))
+    one = seen.groupBy("station", F.col("x.day").alias("date"), "hour").agg(*[of(0, n).alias(n) for n in names], of(1, "temperature").alias("before"))
+    other = one.where(F.col("station") == default).select("date", "hour", F.struct(*names, "before").alias("d"))
+    both = keys.join(one, ["station", "date", "hour"], "left").join(other, ["date", "hour"], "left")
+    own = F.col("temperature").isNotNull() & F.col("nebulosite").isNotNull()
+    value = [F.coalesce(F.when(own, F.col(n)).otherwise(F.col(f"d.{n}")), F.lit(v)).alias(n) for n, v in WEATHER_DEFAULTS.items()]
+    return both.select("station", "date", "hour", *value, F.coalesce("before", "d.before", F.lit(WEATHER_DEFAULTS["temperature"])).alias("before"))
 
-    def side(prefix: str, only: bool, back: int) -> DataFrame:
-        h = hourly.where(F.col("station") == default) if only else hourly
-        keys = [F.date_add("date", back).alias("date"), F.col("hour")] + ([] if only else [F.col("station")])
-        return h.select(*keys, *[F.col(n).alias(f"{prefix}{n}") for n in (names if not back else ["temperature"])])
 
-    out = rows.withColumn("station", F.coalesce("station", F.lit(default)))
-    out = out.join(side("o_", False, 0), ["station", "date", "hour"], "left").join(side("d_", True, 0), ["date", "hour"], "left")
-    out = out.join(side("op_", False, 1), ["station", "date", "hour"], "left").join(side("dp_", True, 1), ["date", "hour"], "left")
-    own = F.col("o_temperature").isNotNull() & F.col("o_nebulosite").isNotNull()
-    value = {n: F.coalesce(F.when(own, F.col(f"o_{n}")).otherwise(F.col(f"d_{n}")), F.lit(v)) for n, v in WEATHER_DEFAULTS.items()}
+def weather_features(rows: DataFrame, hourly: DataFrame, default: str = DEFAULT_STATION) -> DataFrame:
+    """JOI-15/16: the weather of each row (station, date, hour; a null station is the default one), by one join to the
+    resolved hours."""
+    own = rows.withColumns({"station": F.coalesce("station", F.lit(default)), "hour": F.col("hour").cast("int")})
+    hours = resolved_hours(own.select("station", "date", "hour").distinct(), hourly, default)
+    out = own.join(hours, ["station", "date", "hour"], "left")
+    value = {n: F.coalesce(F.col(n), F.lit(v)) for n, v in WEATHER_DEFAULTS.items()}
     flag = is_extreme(value["vent_pointe"], value["vent_vitesse"], value["precipitations"], value["temperature"], value["nebulosite"], value["humidite"])
     return out.select(
-        *rows.columns, F.round(value["temperature"], 1).alias("meteo_temperature"), F.round(value["precipitations"], 1).alias("meteo_precipitations"),
+        *[F.col(c) for c in rows.columns], F.round(value["temperature"], 1).alias("meteo_temperature"), F.round(value["precipitations"], 1).alias("meteo_precipitations"),
         F.round(value["vent_vitesse"], 1).alias("meteo_vent_vitesse"), F.round(value["nebulosite"], 0).alias("meteo_nebulosite"), flag.alias("meteo_conditions_extremes"),
-        F.round(F.coalesce("op_temperature", "dp_temperature", F.lit(10.0)), 1).alias("meteo_observee_j_1"),
+        F.round(F.coalesce("before", F.lit(WEATHER_DEFAULTS["temperature"])), 1).alias("meteo_observee_j_1"),
     )
 
 
@@ -71,7 +87,8 @@ def resolve_grid(observed: DataFrame, stations: DataFrame, first_hour: int, last
     """JOI-20: for every (station, hour number) the offset and station of the observation that stands for it.
 
     ``observed`` is (station, h), ``stations`` (station, ordinal). Offsets are exploded on the observations, so the cost
-    grows with stations and hours, not with the rows that look weather up. Returns station, h, offset, source.
+    grows with stations and hours, not with the rows that look weather up. Returns station, h, offset, source; rows with
+    a null station say what stands for a place that has no weather station of its own.
     """
     hours = stations.select("station", F.explode(F.sequence(F.lit(first_hour), F.lit(last_hour))).alias("h"))
 
@@ -94,11 +111,13 @@ def resolve_grid(observed: DataFrame, stations: DataFrame, first_hour: int, last
     near = nearer(F.col("past") - F.col("h"), F.col("next") - F.col("h"))
     # among all stations, hours are only tried one by one from HOURLY_FROM on
     hourly = nearer(F.col("far_past") - F.col("h"), F.col("far_next") - F.col("h"))
-    own = own.join(F.broadcast(stations), "station").withColumn("own", F.coalesce("tier", near))
+    own = own.join(stations, "station").withColumn("own", F.coalesce("tier", near))
     some = own.groupBy("h").agg(
         F.min(F.when(F.col("wide").isNotNull(), F.struct(F.abs("wide").alias("d"), "ordinal", F.col("wide").alias("offset"), "station"))).alias("by_tier"),
         F.min(F.when(F.coalesce("wide", hourly).isNotNull(), F.struct("ordinal", F.when(F.col("wide").isNull(), F.struct(F.abs(hourly).alias("d"), "ordinal", hourly.alias("offset"), "station")).alias("x")))).alias("first"),
     )
     best = F.least(F.col("by_tier"), F.col("first.x"))
-    out = own.join(some.select("h", best.alias("any")), "h", "left")
-    return out.select("station", "h", F.coalesce("own", "any.offset").alias("offset"), F.when(F.col("own").isNotNull(), F.col("station")).otherwise(F.col("any.station")).alias("source"))
+    anywhere = some.select("h", best.alias("any"))
+    out = own.join(anywhere, "h", "left")
+    found = out.select("station", "h", F.coalesce("own", "any.offset").alias("offset"), F.when(F.col("own").isNotNull(), F.col("station")).otherwise(F.col("any.station")).alias("source"))
+    return found.unionByName(anywhere.select(F.lit(None).cast("string").alias("station"), "h", F.col("any.offset").alias("offset"), F.col("any.station").alias("source")))

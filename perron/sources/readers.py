@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import clock_seconds
 from ..functions.text import lenient_float
 from ..operators.rows import first_present
 
@@ -61,13 +62,37 @@ SYNOP = {
 
 
 def synop(df: DataFrame) -> DataFrame:
-    """FLT-06: typed observations; rows without a station or a readable time are skipped."""
+    """FLT-06: typed observations; rows without a station or a readable time are skipped (``skipped`` counts them)."""
     text = {k: first_present(df, v) for k, v in SYNOP.items()}
     numbers = {k: lenient_float(c).alias(k) for k, c in text.items() if k not in ("station", "timestamp")}
     out = df.select(text["station"].alias("station"), F.to_date(F.substring(text["timestamp"], 1, 10).try_cast("date")).alias("date"), F.substring(text["timestamp"], 12, 2).try_cast("int").alias("hour"), *numbers.values())
     return out.where("station is not null and date is not null and hour is not null")
 
 
+def skipped(df: DataFrame) -> Column:
+    """FLT-06: how many rows ``synop`` skips, for ``agg`` or ``observe``."""
+    text = {k: first_present(df, v) for k, v in SYNOP.items()}
+    day, hour = F.substring(text["timestamp"], 1, 10).try_cast("date"), F.substring(text["timestamp"], 12, 2).try_cast("int")
+    return F.count_if(text["station"].isNull() | day.isNull() | hour.isNull()).alias("skipped")
+
+
+def progress(spark: SparkSession, path: str) -> dict[str, int | float | bool | None]:
+    """TXT-15: how far a training log came: the last progress line, else the largest epoch; whether it ended by itself."""
+    lines = spark.read.text(path).select(F.explode(F.split("value", "\r")).alias("line"))
+    numbered = lines.select("line", F.monotonically_increasing_id().alias("at"))
+    shape = r"Epoch\s+(\d+):\s+(\d+)%\|.*?\|\s*(\d+)/(\d+)\s*\["
+    part = [F.regexp_extract("line", shape, i).try_cast("long").alias(n) for i, n in enumerate(("epoch", "percent", "done", "of"), 1)]
+    last = F.max(F.when(F.col("line").rlike(shape), F.struct("at", *part))).alias("last")
+    epoch = F.max(F.regexp_extract("line", r"Epoch\s+(\d+):", 1).try_cast("long")).alias("epoch")
+    stopped = F.bool_or(F.lower("line").rlike("early stopping|did not improve|signaling.*stop")).alias("stopped")
+    r = numbered.agg(last, epoch, stopped, F.bool_or(F.contains("line", F.lit("==== training done ===="))).alias("ended")).first()
+    ends = {"early_stop": bool(r.stopped), "ended": bool(r.ended)}
+    if r.last is None:
+        return {"epoch": r.epoch, "percent": None, "done": None, "of": None, "epochs": None if r.epoch is None else r.epoch + 1.0, "steps": None} | ends
+    x = r.last
+    return {"epoch": x.epoch, "percent": x.percent, "done": x.done, "of": x.of, "epochs": x.epoch + (x.done / x.of if x.of else 0.0), "steps": x.epoch * x.of + x.done} | ends
+
+
 def json_map(spark: SparkSession, path: str, value_schema: str, key: str = "key") -> DataFrame:
     """SRC-07: entries of one JSON object as rows; a missing file gives none."""
     schema = f"{key} string, value {value_schema}"
@@ -83,9 +108,33 @@ def stream_csv(spark: SparkSession, folder: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).options(header=True, maxFilesPerTrigger=files_per_trigger).csv(folder)
 
 
-def tail(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """SRC-09: the last n rows by a total order."""
-    return df.orderBy(*order).limit(n)
+def timetable(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """SRC-08: stops (stop_id, stop_name, stop_lat, stop_lon) and stop times (trip_id, stop_sequence, stop_id,
+    arrival_s, departure_s, dwell_s) of a folder with stops.txt and stop_times.txt."""
+    stops = csv(spark, f"{folder}/stops.txt", ",").select("stop_id", "stop_name", F.col("stop_lat").try_cast("double").alias("stop_lat"), F.col("stop_lon").try_cast("double").alias("stop_lon"))
+    times = csv(spark, f"{folder}/stop_times.txt", ",").select("trip_id", F.col("stop_sequence").try_cast("int").alias("stop_sequence"), "stop_id", clock_seconds(F.col("arrival_time")).alias("arrival_s"), clock_seconds(F.col("departure_time")).alias("departure_s"))
+    return stops, times.withColumn("dwell_s", F.col("departure_s") - F.col("arrival_s"))
+
+
+def tail(df: DataFrame, order: str, n: int, *, trim: bool = True, ranges: int = 1000) -> DataFrame:
+    """SRC-09: the last n rows by the numeric column ``order``; without ``trim`` all rows from the last range of values on
+    that reaches n.
+
+    A histogram over ``ranges`` equal ranges (one pass over one column) gives the value from which n rows are left, so only
+    those are read in full and sorted; the condition reaches the scan.
+    """
+    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    if ends.a is None:
+        return df.limit(0)
+    step = max((float(ends.b) - float(ends.a)) / ranges, 1e-12)
+    counts = df.groupBy(F.floor((F.col(order) - F.lit(ends.a)) / step).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc_nulls_last("k")).collect()
+    held, first = 0, 0
+    for r in counts:
+        if r.k is None or held >= n:
+            break
+        held, first = held + r.n, r.k
+    kept = df.where(F.col(order) >= F.lit(float(ends.a) + first * step - step * 1e-6))
+    return kept.orderBy(F.desc(order), *[c for c in df.columns if c != order]).limit(n) if trim else kept
 
 
 def missing(spark: SparkSession, path: str, wanted: list[str]) -> list[str]:

@@ -15,8 +15,14 @@ def parquet(df: DataFrame, path: str, *, rows_per_file: int | None = None, parti
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def stream_parquet(df: DataFrame, path: str, checkpoint: str, *, level: int = 8):
+    """SNK-01, STR-02: a started streaming query that appends zstd Parquet; it ends when what is there is written."""
+    w = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return w.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).outputMode("append").trigger(availableNow=True).start()
+
+
 def csv(df: DataFrame, path: str, order: list[Column] | None = None) -> None:
-    """SNK-03: with a header; ``order`` restores the order of the input by its ordinal."""
+    """SNK-03: with a header; ``order`` restores the order of the input by its ordinal (ranges of it become files)."""
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).csv(path)
 
 

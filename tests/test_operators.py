@@ -21,7 +21,7 @@ def test_sessions_split_only_above_the_gap(spark):
 def test_best_match_null_rules(spark):
     row = spark.createDataFrame([(1, 5, 86340), (2, 6, 86340), (3, 7, 1)], "k int, stop int, row_s int")
     c = spark.createDataFrame([(5, "a", 1, 60), (5, "b", 1, 85000), (6, "c", 1, None), (6, "d", 1, 85000)], "stop int, real_trip_id string, stop_sequence int, candidate_s int")
-    pick = lambda strict: {r.k: r.real_trip_id for r in trips.best_match(row, c, ["stop"], ["k"], strict=strict).collect()}
+    pick = lambda strict: {r.k: r.real_trip_id for r in trips.best_match(row, c, ["stop"], strict=strict).collect()}
     assert pick(False) == {1: "a", 2: "d", 3: None}
     assert pick(True) == {1: "a", 2: "c", 3: None}
 
@@ -78,8 +78,8 @@ def test_weather_grid_follows_the_rules(spark):
     observed = spark.createDataFrame([(s, h) for s, hs in data.items() for h in hs], "station string, h int")
     stations = spark.createDataFrame([(s, i) for i, s in enumerate(order)], "station string, ordinal int")
     got = {(r.station, r.h): (r.offset, r.source) for r in weather.resolve_grid(observed, stations, 0, 2600).collect()}
-    assert len(got) == 4 * 2601
-    for s in order:
+    assert len(got) == 5 * 2601  # a row without a station as well
+    for s in [*order, None]:
         for h in range(0, 2601, 7):
             assert got[s, h] == slow_lookup(data, order, s, h), (s, h)
 
