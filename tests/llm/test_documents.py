@@ -144,8 +144,16 @@ def test_line_dedup_matches_brute_force(odd_docs, clashing_docs, no_docs):
 
 
 def test_keep_runs_give_back_the_kept_lines(odd_docs):
-    for r in linededup.apply_runs(odd_docs, linededup.dropped_runs(odd_docs)).collect():
+    """The runs of a document, laid over its own lines, are the lines that brute force keeps."""
+    rows = odd_docs.collect()
+    want = {(d, h) for d, _, _, h in slow_dedup([(r.doc_id, r.text) for r in rows])}
+    texts = {(r.doc_id, r.text) for r in rows}
+    runs = linededup.apply_runs(odd_docs, linededup.dropped_runs(odd_docs)).select("doc_id", "n_lines", "n_dropped", "keep_runs").collect()
+    for r in runs:
         assert sum(x["count"] for x in r.keep_runs) == r.n_lines - r.n_dropped
+        own = [(t or "").split("\n") for d, t in texts if d == r.doc_id]
+        kept = ["\n".join(x for k in r.keep_runs for x in lines[k["from"] : k["from"] + k["count"]]) for lines in own]
+        assert any((r.doc_id, hashlib.sha256(k.encode()).hexdigest()) in want for k in kept)
 
 
 def test_chunked_encoding_equals_the_library(expected_ids, odd_docs):
