@@ -3,12 +3,14 @@
 import random
 from datetime import date, datetime
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from perron.functions import dates
 from perron.operators import boosting, enrich, ridge, rows, scores, series, stops, trips, weather
 from perron.sources import readers, writers
+from perron.streaming import enrich as streaming
 
 
 def slow_best(row, candidates, strict):
@@ -167,6 +169,9 @@ def test_more_readers(spark, tmp_path):
     stream = readers.stream_csv(spark, str(tmp_path / "in"), "a int, b string", 1)
     writers.stream_parquet(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r.a for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
+    writers.parquet(spark.range(50_000).withColumn("x", F.rand(1)), str(tmp_path / "groups"), group_bytes=100_000)
+    meta = [pq.read_metadata(f) for f in (tmp_path / "groups").glob("*.parquet")]
+    assert sum(m.num_row_groups for m in meta) > len(meta) and all(m.row_group(0).column(0).is_stats_set for m in meta)
     ordered = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "o int, v string")
     writers.csv(ordered, str(tmp_path / "csv"), [F.col("o")])
     assert [r.v for f in sorted((tmp_path / "csv").glob("*.csv")) for r in spark.read.csv(str(f), header=True).collect()] == ["a", "b", "c"]
@@ -182,3 +187,29 @@ def test_fill_for_training_takes_the_mean_of_the_day(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 3, None), ("b", 1, None), ("b", 2, None), ("c", 2, 6.0)], "g string, t long, y double")
     got = {(r.g, r.t): r.y for r in series.complete_days(df, "g", "t", ["y"], "training").collect()}
     assert got == {("a", 1): 2.0, ("a", 2): 2.0, ("a", 3): 2.0, ("b", 1): 2.0, ("b", 2): 4.0, ("c", 2): 6.0}
+
+
+def test_enrichment_of_a_stream_keeps_the_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        lines = [f"{(7 * j + i) % 5},2024-01-05,{j % 24:02d}:00" for j in range(40)]
+        (tmp_path / "in" / f"{i}.csv").write_text("\n".join(["PTCAR_NO,DATDEP,REAL_TIME_DEP", *lines]) + "\n")
+    h = (datetime(2024, 1, 5) - datetime(1970, 1, 1)).days * 24
+    seen = spark.createDataFrame([("A", h + k, float(k), 0.0, 0.0, 0.0, 0.0) for k in range(0, 24, 5)], "station string, h int, temp double, precip double, wind_speed double, humidity double, pressure double")
+    weather_of = enrich.hour_weather(seen, spark.createDataFrame([("A", 0)], "station string, ordinal int"), h - 5, h + 30)
+    mapping = spark.createDataFrame([(str(k), "A", 1.0, False) for k in range(4)], "place_id string, station_id string, distance_km double, no_station boolean")
+    stream = readers.stream_csv(spark, str(tmp_path / "in"), "PTCAR_NO string, DATDEP string, REAL_TIME_DEP string", 1)
+    streaming.enrich_files(stream, mapping, weather_of, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    batches = [[r for f in sorted(b.glob("*.csv")) for r in spark.read.csv(str(f), header=True).collect()] for b in sorted((tmp_path / "out").glob("batch-*"))]
+    assert sorted(tuple(r.PTCAR_NO for r in b) for b in batches) == sorted(tuple(str((7 * j + i) % 5) for j in range(40)) for i in range(2))
+    assert all(len(r.asDict()) == 21 and (r.temp_depart is not None) and r.depart_no_station == ("true" if r.PTCAR_NO == "4" else "false") for b in batches for r in b)
+
+
+def test_windowed_delays_end_with_the_watermark(spark, tmp_path):
+    rows_in = [(datetime(2024, 1, 1, h, 30), "s", float(h)) for h in (1, 1, 2, 9)]
+    spark.createDataFrame(rows_in, "ts timestamp, k string, v double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, k string, v double").parquet(str(tmp_path / "in"))
+    q = streaming.windowed_delays(stream, "ts", "k", "v").writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.window.start.hour, r.n, r.mean_delay) for r in spark.table("windows").collect()) == [(1, 2, 1.0), (2, 1, 2.0)]
