@@ -13,7 +13,8 @@ from .functions import dates, geo, numeric, text
 from .operators import boosting, density, enrich, history, ridge, rows, scores, stops, trips, weather, works
 from .operators import series as ser
 from .plans import features
-from .sources import readers
+from .session import scratch, written
+from .sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -645,7 +646,7 @@ SELECT event_id, round(pos, 5) AS position_dans_trajet, term AS est_gare_terminu
 def feature_chain(spark, sf):
     """All feature steps in one plan."""
     stations = spark.createDataFrame([(n, str(3 * i)) for i, n in enumerate(A.NAMES)], "station string, weather_station string")
-    out = features.build(A.journeys(spark, sf), A.stop_times(spark, sf), A.works(spark, sf), A.observations(spark, sf), stations, "3", cut=features.written)
+    out = features.build(A.journeys(spark, sf), A.stop_times(spark, sf), A.works(spark, sf), A.observations(spark, sf), stations, "3", cut=written)
     places = dict.fromkeys(("congestion_prevue_score", "position_dans_trajet", "target"), 5) | dict.fromkeys(("longueur_trajet_km", "temps_theorique_depuis_depart", "travaux_distance_km", "fiabilite_train_historique", "risque_retard_score", "stress_reseau_score", "indice_complexite"), 4)
     places |= dict.fromkeys(("retard_j_1", "retard_moyen_meme_jour_semaine", "ligne_mean_7", "slot_mean_30"), 9)
     return out.select("event_id", *[r(F.col(c).cast("double"), places[c]).alias(c) if c in places else c for c in _CHAIN])
@@ -771,3 +772,55 @@ def boosted_trees(spark, sf):
     x = s.select("group_id", "time_idx", "target", *[F.lag("target", i).over(w).alias(f"x{i}") for i in (1, 2, 3)]).dropna()
     model = boosting.fit(x.where("time_idx <= 19730"), ["x1", "x2", "x3"], "target", trees=5)
     return boosting.predict(model, x.where("time_idx > 19730")).select("group_id", "time_idx", "target", "pred")
+
+
+# --- files -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+def csv_round_trip(spark, sf):
+    """Written as CSV in order, read back as text with the delimiter found."""
+    path = scratch(spark, "csv")
+    writers.csv(A.table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), path, [F.col("c_custkey")])
+    return readers.csv(spark, path)
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+def parquet_round_trip(spark, sf):
+    """Written as zstd Parquet by priority in bounded files, read back from the first path that exists."""
+    path = scratch(spark, "parquet")
+    writers.parquet(A.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), path, rows_per_file=5000, partition_by=("o_orderpriority",))
+    return readers.parquet(spark, f"{path}-none", path).select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+@query("""SELECT 'st' || (user_id % 30) AS station, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour, round(value, 1) AS temperature, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id % 9 AS DOUBLE) END AS nebulosite, event_id AS precipitations
+FROM events WHERE event_id % 23 <> 0 AND event_id % 29 <> 0""")
+def observations_from_text(spark, sf):
+    """Semicolon text with decimal commas; rows without a station or a readable time are skipped."""
+    k, path = F.col("event_id"), scratch(spark, "synop")
+    cells = {
+        "code": F.when(k % 23 != 0, F.concat(F.lit("st"), (F.col("user_id") % 30).cast("string"))), "timestamp": F.when(k % 29 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm")).otherwise("soon"),
+        "temp": F.replace(F.round("value", 1).cast("decimal(12,1)").cast("string"), F.lit("."), F.lit(",")), "cloudiness": F.when(k % 4 != 0, (k % 9).cast("string")).otherwise("n/a"), "precip": k.cast("string"),
+    }
+    A.table(spark, sf, "events").select(*[c.alias(n) for n, c in cells.items()]).write.options(header=True, sep=";").csv(path)
+    out = readers.synop(readers.csv(spark, path))
+    return out.select("station", "date", "hour", "temperature", "nebulosite", F.col("precipitations").cast("long").alias("precipitations"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation")
+def json_object_round_trip(spark, sf):
+    """A small table as one JSON object by key, and its entries as rows again."""
+    nation = A.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    path = scratch(spark, "json")
+    body = nation.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), F.struct("name", "region"))))).alias("value"))
+    body.write.text(path)
+    return readers.json_map(spark, path, "struct<name: string, region: bigint>", "id").select("id", "value.name", "value.region")
+
+
+@query("""SELECT c.c_custkey AS k, CASE WHEN s.s_suppkey IS NOT NULL AND s.s_suppkey % 2 = 0 THEN s.s_acctbal ELSE c.c_acctbal END AS v FROM customer c LEFT JOIN supplier s ON s.s_suppkey = c.c_custkey""")
+def last_write_wins(spark, sf):
+    """Files in order, the later one wins."""
+    c = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    s = A.table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    known = s.join(c.select("k"), "k", "left_semi")
+    return readers.last_write_wins([c, known], ["k"])

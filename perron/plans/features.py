@@ -3,15 +3,11 @@
 Steps are DataFrame -> DataFrame, so Catalyst prunes and orders the whole chain. Aggregates that rows look up (history,
 connections) are fed from the rows as they come and not from the widened ones, so a branch reads the columns it needs
 and no more. Where trips have been matched, three branches start from the widened rows; ``build`` takes a function that
-cuts the plan there (such as ``written``, a table in the shared folder), so that the match is computed once.
+cuts the plan there (such as ``session.written``, a table in the shared folder), so that the match is computed once.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -99,21 +95,6 @@ def with_weather(df: DataFrame, observed: DataFrame, stations: DataFrame, defaul
     return weather.weather_features(mapped, weather.expand_hours(observed, names), default).withColumnsRenamed({"station": "weather_station", "stop_station": "station"})
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the folder of spark.checkpoint.dir (or setCheckpointDir), which survives lost executors; in
-    local mode without one, a temporary folder of this application."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="perron-")
-        atexit.register(shutil.rmtree, root, True)
-    path = f"{root.rstrip('/')}/features-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_scores(df: DataFrame) -> DataFrame:
     out = scores.lag_moments(df)
     traffic = ["densite_jonction_nord_midi", "densite_hub_bruxelles_midi", "densite_hub_schaerbeek", "nb_trains"]
