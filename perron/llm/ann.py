@@ -124,8 +124,8 @@ def nearby(vectors: DataFrame, width: int, s: Settings) -> DataFrame:
             if got:
                 yield _found([(ids, *got)])
 
-        dealt = vectors.mapInArrow(project, "p double, id long, code binary, scale float").repartitionByRange("p").sortWithinPartitions("p", "id")
-        part = dealt.mapInArrow(blocks, "id long, nbr array<long>, sim array<float>")
+        dealt = vectors.mapInArrow(shared.tidy(project), "p double, id long, code binary, scale float").repartitionByRange("p").sortWithinPartitions("p", "id")
+        part = dealt.mapInArrow(shared.tidy(blocks), "id long, nbr array<long>, sim array<float>")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -152,7 +152,7 @@ def merged(graph: DataFrame, found: DataFrame, k: int) -> DataFrame:
             head = t.take(pa.array(own))
             yield pa.RecordBatch.from_arrays([head.column("id").combine_chunks(), head.column("code").combine_chunks(), head.column("scale").combine_chunks(), lists(n, flat), lists(n, value), pa.array(fresh)], ["id", "code", "scale", "nbr", "sim", "fresh"])
 
-    return both.mapInArrow(task, LISTS)
+    return both.mapInArrow(shared.tidy(task), LISTS)
 
 
 def spread(rows: DataFrame, key: str, by: list, most: int) -> DataFrame:
@@ -194,7 +194,7 @@ def descend_round(graph: DataFrame, width: int, s: Settings, number: int) -> Dat
             if parts:
                 yield _found(parts)
 
-    return dealt.mapInArrow(task, "id long, nbr array<long>, sim array<float>")
+    return dealt.mapInArrow(shared.tidy(task), "id long, nbr array<long>, sim array<float>")
 
 
 def build(vectors: DataFrame, width: int, s: Settings) -> DataFrame:
@@ -236,7 +236,7 @@ def write_blocks(graph: DataFrame, folder: str, blocks: int, width: int) -> None
                     f.write(out.getbuffer())
         yield from ()
 
-    dealt.mapInArrow(task, "block int").collect()
+    dealt.mapInArrow(shared.tidy(task), "block int").collect()
 
 
 BEAM = "q long, code binary, scale float, nbr array<long>, sim array<float>, done array<boolean>"
@@ -303,11 +303,11 @@ def search(graph: DataFrame, queries: DataFrame, width: int, s: Settings) -> Dat
         todo = now.select("q", "code", "scale", floor.alias("floor"), F.explode(F.transform("open", lambda i: F.get("nbr", i))).alias("to"))
         todo = spread(todo.withColumn("block", _block("to", blocks)), "block", ["q"], s.visit)
         dealt = todo.repartition("block", "part").sortWithinPartitions("block", "q")
-        found = dealt.mapInArrow(visit, "q long, nbr array<long>, sim array<float>")
+        found = dealt.mapInArrow(shared.tidy(visit), "q long, nbr array<long>, sim array<float>")
         found = found.select("q", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"), "nbr", "sim", F.transform("nbr", lambda v: F.lit(False)).alias("done"))
         marked = now.select("q", "code", "scale", "nbr", "sim", F.transform("done", lambda d, i: d | F.array_contains("open", i)).alias("done"))
         both = marked.unionByName(found).repartition("q").sortWithinPartitions("q", F.col("scale").isNull())
-        following = shared.written(both.mapInArrow(gather, BEAM), "beams")
+        following = shared.written(both.mapInArrow(shared.tidy(gather), BEAM), "beams")
         shared.discard(spark, beams)
         beams = following
         if not beams.where(F.exists("done", lambda d: ~d)).limit(1).count():
@@ -349,7 +349,7 @@ def nearest(df: DataFrame, *, id_column: str = "vec_id", vector_column: str = "e
             code, scale = encode(matrix(b.column("x"), width))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale)], ["id", "code", "scale"])
 
-    vectors = single.mapInArrow(pack, "id long, code binary, scale float")
+    vectors = single.mapInArrow(shared.tidy(pack), "id long, code binary, scale float")
     graph = build(vectors, width, settings)
     asked = member.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("rep").alias("q"))
     beams = search(graph, asked.select(F.col("q").alias("id")).distinct(), width, settings)
@@ -361,7 +361,7 @@ def nearest(df: DataFrame, *, id_column: str = "vec_id", vector_column: str = "e
             v, q = matrix(b.column("vx"), width), matrix(b.column("qx"), width)
             yield pa.RecordBatch.from_arrays([b.column("q"), b.column("rep"), pa.array(np.einsum("ij,ij->i", v, q))], ["q", "rep", "score"])
 
-    scored = pairs.select("q", "rep", "vx", "qx").mapInArrow(score, "q long, rep long, score double")
+    scored = pairs.select("q", "rep", "vx", "qx").mapInArrow(shared.tidy(score), "q long, rep long, score double")
     order = lambda key, name: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), name))
     leading = scored.withColumn("rank", order("q", "rep")).where(F.col("rank") <= k + 1).drop("rank")
     # what comes after k + 1 copies of strictly nearer vectors cannot matter

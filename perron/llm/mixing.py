@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Largest table of weights that is broadcast; a larger one is joined by shuffle.
+#: Largest table of weights, or of sampled ids, that is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Least deviation of a feature from its expected count, in standard deviations, that gives it weights.
 TELLING = 4.0
@@ -68,7 +68,9 @@ def learn(docs: DataFrame, domains: DataFrame, names: list[str], *, sample: int,
     n = known.count()
     share = min(1.0, sample / max(n, 1))
     spot = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1_000_000)) / 1e6
-    chosen = docs.select("doc_id", F.col(text_column).alias("text")).join(known.where(spot("sample") < share), "doc_id")
+    picked = shared.written(known.where(spot("sample") < share), "sample")
+    few = picked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    chosen = docs.select("doc_id", F.col(text_column).alias("text")).join(F.broadcast(picked) if few else picked, "doc_id")
     # a text that many documents copy counts once, else all its words would tell of its domain
     once = chosen.groupBy(F.xxhash64("text").alias("h"), "domain").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.doc_id", "d.text", "domain")
     chosen = shared.written(once.withColumn("aside", spot("aside") < 0.25), "labelled")

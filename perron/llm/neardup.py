@@ -5,9 +5,11 @@ trie of ``simhash`` names candidates within its own budget only, and bands of mi
 pair at 0.8 shares none of 32 bands of 5 minima with a chance of 3 in a million. No candidate links without the exact
 similarity of its shingle sets.
 
-Rows of one text (but for A-Z and white space) are one node. Each member of a band is compared with the band's smallest
-node, so candidates grow with the members and not with their pairs. What is left are bands whose members fall into several
-components, be it that a common passage brought them together. Their members are joined by prefix filter: of two sets
+Rows of one text (but for A-Z and white space) are one node. Each member of a band is compared with one head, so
+candidates grow with the members and not with their pairs. The head is the member that meets the most others in its
+bands: of a text and its edited copies that is most likely the text itself, which is nearer to each copy than copies are
+to one another. What is left are bands whose members fall into several components, be it that a common passage brought
+them together. Their members are joined by prefix filter: of two sets
 with a similarity of 0.8 each has a common shingle among its fifth of rarest ones, and a common passage's shingles are not
 rare. Pairs left out are in one component already, so their links would change nothing.
 """
@@ -83,7 +85,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     shared.bound_batches(docs.sparkSession)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    return picked.mapInArrow(task, "doc_id long, text_hash long, k long, fp long, n long, bands array<long>")
+    return picked.mapInArrow(shared.tidy(task), "doc_id long, text_hash long, k long, fp long, n long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -98,8 +100,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [np.unique(simhash.shingle_hashes(normal(t.as_py()).split(), WORDS)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["k", "n", "shingles"])
 
-    texts = docs.select(F.col("text")).mapInArrow(keyed, "k long, text string")
-    return texts.join(wanted, "k", "left_semi").mapInArrow(cut, "k long, n long, shingles array<long>").dropDuplicates(["k"])
+    texts = docs.select(F.col("text")).mapInArrow(shared.tidy(keyed), "k long, text string")
+    return texts.join(wanted, "k", "left_semi").mapInArrow(shared.tidy(cut), "k long, n long, shingles array<long>").dropDuplicates(["k"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if near:
                 yield pa.RecordBatch.from_arrays([pa.array(a[near]), b.take(pa.array(near))], ["a", "b"])
 
-    return both.mapInArrow(task, "a long, b long")
+    return both.mapInArrow(shared.tidy(task), "a long, b long")
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
@@ -172,9 +174,11 @@ def near_duplicates(docs: DataFrame, *, budget: int = 3) -> DataFrame:
     nodes = shared.written(rows.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     size = nodes.select("k", "n")
     exploded = nodes.select("k", "n", F.explode("bands").alias("band"))
-    held = exploded.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi")
-    bands = shared.written(exploded.join(held.select("band", "lo"), "band"), "bands")
-    heads = bands.select(F.col("k").alias("x"), F.col("lo").alias("y"))
+    held = exploded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    bands = shared.written(exploded.join(held, "band"), "bands")
+    met = bands.join(bands.groupBy("k").agg(F.sum("size").alias("meets")), "k")
+    head = met.groupBy("band").agg(F.max(F.struct("meets", "k")).alias("head"))
+    heads = bands.join(head, "band").select(F.col("k").alias("x"), F.col("head.k").alias("y"))
     distinct = shared.written(nodes.groupBy("fp").agg(F.min("k").alias("k")), "distinct-fingerprints")
     stars, folder = simhash.links(distinct.select("fp"), budget)
     of_fp = distinct.select("fp", "k")

@@ -225,4 +225,4 @@ def pack_documents(
 
     picked = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), *([F.col(context_column).alias("context")] if context_column else []))
     batch_columns = len(picked.columns)
-    return picked.mapInArrow(task, PIECES)
+    return picked.mapInArrow(shared.tidy(task), PIECES)

@@ -70,7 +70,7 @@ def statistics_table(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     shared.bound_batches(docs.sparkSession)
     text = F.col(text_column)
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    return picked.mapInArrow(task, "doc_id long, text_hash long, x array<float>")
+    return picked.mapInArrow(shared.tidy(task), "doc_id long, text_hash long, x array<float>")
 
 
 def remainder(doc_id: Column) -> Column:
@@ -162,7 +162,7 @@ def fit(stats: DataFrame, labels: DataFrame, *, label_column: str = "quality", f
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([g.tobytes()], pa.binary())], ["fold", "g"])
 
     by_fold = {k: np.zeros((size + 1, size + 1)) for k in range(1, 5)}
-    for r in rows.mapInArrow(equations, "fold long, g binary").repartition(adders).mapInArrow(add, "fold long, g binary").toLocalIterator():
+    for r in rows.mapInArrow(shared.tidy(equations), "fold long, g binary").repartition(adders).mapInArrow(shared.tidy(add), "fold long, g binary").toLocalIterator():
         by_fold[r.fold] += np.frombuffer(r.g, float).reshape(size + 1, size + 1)
     whole = sum(by_fold.values())
 
@@ -187,7 +187,7 @@ def fit(stats: DataFrame, labels: DataFrame, *, label_column: str = "quality", f
             at = np.clip(np.floor((s + 0.5) * (bins / 2)), 0, bins - 1).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(s), b.column("y")], ["bin", "s", "y"])
 
-    groups = rows.mapInArrow(unseen, "bin long, s double, y double").groupBy("bin").agg(F.avg("s").alias("s"), F.count("*").alias("n"), F.sum("y").alias("y")).orderBy("bin").collect()
+    groups = rows.mapInArrow(shared.tidy(unseen), "bin long, s double, y double").groupBy("bin").agg(F.avg("s").alias("s"), F.count("*").alias("n"), F.sum("y").alias("y")).orderBy("bin").collect()
     model.knots = isotonic(*(np.array([g[c] for g in groups], float) for c in ("s", "n", "y")))
     shared.discard(rows.sparkSession, rows)
     return model
@@ -209,5 +209,5 @@ def score_documents(
         for b, x in _batches(batches, width):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(model.score(x))], ["doc_id", "text_hash", "score"])
 
-    scored = stats.mapInArrow(task, "doc_id long, text_hash long, score double")
+    scored = stats.mapInArrow(shared.tidy(task), "doc_id long, text_hash long, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")

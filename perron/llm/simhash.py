@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
 
     shared.bound_batches(docs.sparkSession)
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return picked.mapInArrow(task, "doc_id long, fp long")
+    return picked.mapInArrow(shared.tidy(task), "doc_id long, fp long")
 
 
 def _split(a: np.ndarray, b: np.ndarray, nodes: tuple[np.ndarray, ...], depth: int, budget: int, own: bool) -> tuple[np.ndarray, ...]:
@@ -256,8 +256,8 @@ def links(distinct: DataFrame, budget: int = 3, leaf: int | None = None, most_le
             yield pa.RecordBatch.from_arrays([pa.array(leafs.astype(np.int64)), b.column(0)], ["leaf", "fp"])
 
     if nodes:
-        dealt = distinct.select("fp").mapInArrow(assign, "leaf long, fp long").repartition(shared.parallelism(spark), "leaf").sortWithinPartitions("leaf")
-        dealt.mapInArrow(write, "leaf long").collect()
+        dealt = distinct.select("fp").mapInArrow(shared.tidy(assign), "leaf long, fp long").repartition(shared.parallelism(spark), "leaf").sortWithinPartitions("leaf")
+        dealt.mapInArrow(shared.tidy(write), "leaf long").collect()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = shared.storage(folder)
@@ -281,7 +281,7 @@ def links(distinct: DataFrame, budget: int = 3, leaf: int | None = None, most_le
     # pairs of one left subtree lie next to each other, so a task reads few files more than once
     table = spark.createDataFrame(pa.table(dict(zip(("i", "j", "used"), map(pa.array, pairs)))))
     table = table.repartitionByRange(max(1, min(len(pairs[0]), shared.parallelism(spark))), "i", "j").sortWithinPartitions("i", "j")
-    return table.mapInArrow(join, "a long, b long"), folder
+    return table.mapInArrow(shared.tidy(join), "a long, b long"), folder
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def write_flat(
                 n += k
 
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return shared.written(picked.mapInArrow(task, "file string, n long, doc_id long"), "flat-notes")
+    return shared.written(picked.mapInArrow(shared.tidy(task), "file string, n long, doc_id long"), "flat-notes")
 
 
 def count_tokens(spark: SparkSession, folder: str, *, end_id: int = tk.END_OF_TEXT, dtype: str = "<u2", block_tokens: int = 4_000_000) -> DataFrame:
@@ -89,7 +89,7 @@ def count_tokens(spark: SparkSession, folder: str, *, end_id: int = tk.END_OF_TE
                 ends = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([total], pa.int64()), ends], ["file", "block", "total", "ends"])
 
-    found = shared.written(blocks.mapInArrow(scan, "file string, block long, total long, ends array<long>"), "separators")
+    found = shared.written(blocks.mapInArrow(shared.tidy(scan), "file string, block long, total long, ends array<long>"), "separators")
     narrow = found.select("file", "block", F.size("ends").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = narrow.select("file", "block", F.coalesce(F.max("last").over(before), F.lit(-1)).alias("carry"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

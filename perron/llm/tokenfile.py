@@ -157,7 +157,7 @@ def write_documents(
 
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     dealt = picked.repartitionByRange(shards or shared.parallelism(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return sorted((r.shard, r.docs, r.tokens) for r in dealt.mapInArrow(task, "shard long, docs long, tokens long").collect())
+    return sorted((r.shard, r.docs, r.tokens) for r in dealt.mapInArrow(shared.tidy(task), "shard long, docs long, tokens long").collect())
 
 
 def read_documents(spark: SparkSession, folder: str, shards: list[tuple[int, int, int]]) -> DataFrame:
@@ -174,4 +174,4 @@ def read_documents(spark: SparkSession, folder: str, shards: list[tuple[int, int
                     crc = [tk.crc32_of(shard.tokens(a, b)) for a, b in zip(start.tolist(), n.tolist())]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(start + base), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.createDataFrame(listed).repartition(max(1, min(len(shards), 4096))).mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.createDataFrame(listed).repartition(max(1, min(len(shards), 4096))).mapInArrow(shared.tidy(task), "doc_id long, start long, n_tokens long, ids_crc32 long")

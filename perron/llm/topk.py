@@ -102,7 +102,7 @@ def exact_top_k(
                 total += np.frombuffer(m.as_buffer()).reshape(width, width)
         yield pa.RecordBatch.from_pydict({"m": [total.tobytes()]})
 
-    parts = rows.mapInArrow(moments, "m binary").repartition(8).mapInArrow(add, "m binary").collect()
+    parts = rows.mapInArrow(shared.tidy(moments), "m binary").repartition(8).mapInArrow(shared.tidy(add), "m binary").collect()
     axes = np.linalg.svd(sum(np.frombuffer(p.m).reshape(width, width) for p in parts))[0]
     h = min(head, width)
 
@@ -142,7 +142,7 @@ def exact_top_k(
 
     def blocks_of(kind: str, vectors: DataFrame, size: int) -> DataFrame:
         dealt = vectors.select("id", "x", "square").repartitionByRange(F.desc("square")).sortWithinPartitions(F.desc("square"), "id")
-        return shared.written(dealt.mapInArrow(cut(kind, size), BLOCK), f"{kind}-blocks")
+        return shared.written(dealt.mapInArrow(shared.tidy(cut(kind, size)), BLOCK), f"{kind}-blocks")
 
     candidates = blocks_of("candidate", rows, block)
     queries = blocks_of("query", rows.where(F.col("id") % every == 0), query_block)
@@ -181,7 +181,7 @@ def exact_top_k(
         pairs = asked.select("number", "need", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi - 1).cast("long"))).alias("place"))
         pairs = pairs.join(round_, "place").where("longest >= need").select("number", "place", "block").join(asked.select("number", "bounds"), "number")
         dealt = pairs.repartitionByRange("place", "number").sortWithinPartitions("place", "number").select("number", "block", "bounds")
-        found = dealt.mapInArrow(work, "query_id long, vec_id long, score long")
+        found = dealt.mapInArrow(shared.tidy(work), "query_id long, vec_id long, score long")
         both = best.select("query_id", "vec_id", "score").unionByName(found)
         following = shared.written(both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
         shared.discard(spark, best)
