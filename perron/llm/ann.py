@@ -8,7 +8,7 @@ many meetings and not one. Rounds end when few list entries change. Vectors trav
 
 The graph, with the codes of neighbours beside each list, is written as block files in the shared folder. A query's beam
 starts from its own list; in each hop its best unexpanded entries are dealt to the blocks that hold them, compared there,
-and what beats the beam comes back. The best of the beam are scored with the original vectors in double precision.
+and what beats the beam comes back, until the whole beam is expanded. The best of the beam are scored with the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ class Settings:
     meet: int = 96  # vectors compared at once where they meet; larger meetings are dealt into such groups
     visit: int = 20_000  # steps of queries that one task takes to one block; more are dealt to several tasks
     improve: int = 8  # best partners that a vector takes from one meeting
-    rounds: int = 7
+    rounds: int = 24  # bound; they end when the graph is settled, after a number that grows with the logarithm of the rows
     settled: float = 0.04  # share of changed entries at which rounds end
-    beam: int = 256
-    expand: int = 64
-    hops: int = 6
+    beam: int = 384  # a search ends when all entries of its beam are expanded
+    expand: int = 96  # entries of a beam that one hop expands
+    hops: int = 32  # bound
     rerank: int = 96
     nodes_per_block: int = 4096
     seed: int = 11
