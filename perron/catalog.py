@@ -634,7 +634,7 @@ z AS (SELECT e0.*, {congestion} AS cong, n_hub_gent, (n_jonction_nord_midi + n_h
   CASE WHEN isodow(datetime) < 6 AND (hour BETWEEN 7 AND 8 OR hour BETWEEN 17 AND 18) THEN 1 ELSE 0 END AS peak
   FROM e0 JOIN ld USING (d, hour, line) JOIN hd USING (d, hour) JOIN cn USING (station) LEFT JOIN wg USING (line, d) LEFT JOIN nw USING (line, d, stop_id) JOIN wx USING (event_id) LEFT JOIN lm ON lm.hist_group_id = e0.train || '_' || e0.station AND lm.d = e0.d JOIN ql USING (line, d) JOIN qs USING (station, hour, d))
 SELECT event_id, round(pos, 5) AS position_dans_trajet, term AS est_gare_terminus, hub_liege AS traverse_hub_liege, jonction_nord_midi AS traverse_jonction_nord_midi, stops AS nb_arrets_total, round(km, 4) AS longueur_trajet_km, round(since, 4) AS temps_theorique_depuis_depart, nb_trains, n_hub_gent AS densite_hub_gent,
-  round(cong, 5) AS congestion_prevue_score, cn AS nb_connexions_gare, nb, level, round(far, 4) AS travaux_distance_km, t AS meteo_temperature, ext AS meteo_conditions_extremes, round(r1, 9) AS retard_j_1, round(wk, 9) AS retard_moyen_meme_jour_semaine, round(m7, 9) AS ligne_mean_7, round(m30, 9) AS slot_mean_30,
+  round(cong, 5) AS congestion_prevue_score, cn AS nb_connexions_gare, nb, level, round(far, 4) AS travaux_distance_km, t AS meteo_temperature, ext AS meteo_conditions_extremes, round(r1, 9) AS retard_j_1, round(wk, 9) AS retard_moyen_meme_jour_semaine, round(m7, 10) AS ligne_mean_7, round(m30, 10) AS slot_mean_30,
   round(CAST(CAST(CASE WHEN n = 0 THEN 0.5 ELSE greatest(0.0, greatest(0.0, 1.0 - mu / 10.0) - CASE WHEN n >= 3 THEN least(0.2, sd / 10.0) ELSE 0.0 END) END AS FLOAT) AS DOUBLE), 4) AS fiabilite_train_historique,
   round(CAST(CAST(0.35 * least(1.0, mu / 10.0) + 0.25 * cong + 0.2 * CASE WHEN nb > 0 THEN (level + 1) / 4.0 ELSE 0.0 END + 0.1 * ext + 0.05 * peak AS FLOAT) AS DOUBLE), 4) AS risque_retard_score,
   round(CAST(CAST(0.4 * least(1.0, dens / 50.0) + 0.3 * least(1.0, nb / 3.0) + 0.2 * CASE WHEN ext = 1 THEN 1.0 WHEN rain > 5 THEN 0.5 WHEN wind > 50 THEN 0.5 ELSE 0.0 END + 0.1 * peak AS FLOAT) AS DOUBLE), 4) AS stress_reseau_score,
@@ -648,7 +648,7 @@ def feature_chain(spark, sf):
     stations = spark.createDataFrame([(n, str(3 * i)) for i, n in enumerate(A.NAMES)], "station string, weather_station string")
     out = features.build(A.journeys(spark, sf), A.stop_times(spark, sf), A.works(spark, sf), A.observations(spark, sf), stations, "3", cut=written)
     places = dict.fromkeys(("congestion_prevue_score", "position_dans_trajet", "target"), 5) | dict.fromkeys(("longueur_trajet_km", "temps_theorique_depuis_depart", "travaux_distance_km", "fiabilite_train_historique", "risque_retard_score", "stress_reseau_score", "indice_complexite"), 4)
-    places |= dict.fromkeys(("retard_j_1", "retard_moyen_meme_jour_semaine", "ligne_mean_7", "slot_mean_30"), 9)
+    places |= dict.fromkeys(("retard_j_1", "retard_moyen_meme_jour_semaine"), 9) | dict.fromkeys(("ligne_mean_7", "slot_mean_30"), 10)
     return out.select("event_id", *[r(F.col(c).cast("double"), places[c]).alias(c) if c in places else c for c in _CHAIN])
 
 
