@@ -2,32 +2,56 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..constants import ALL_TIERS, DEFAULT_STATION, OWN_TIERS, REACH_HOURS, WEATHER_DEFAULTS
 from ..functions.geo import haversine_atan2
+from .kdtree import Tree
 
-#: Weather stations in one array.
-STATION_SLICE = 1_000
+#: Stations in one tree, and places that one task looks up in it.
+STATION_SLICE = 200_000
+PLACE_SLICE = 50_000
 HOURLY_FROM = 169
 
 
-def nearest_station(places: DataFrame, stations: DataFrame, max_km: float = 50.0, slice_size: int = STATION_SLICE) -> DataFrame:
+def _nearby(_, places: pa.Table, stations: pa.Table) -> pa.Table:
+    """Places with the stations that may be nearest to them."""
+    degrees = lambda t, *names: [t.column(c).to_numpy() for c in names]
+    place, station = Tree(*degrees(stations, "s_lat", "s_lon")).nearest(*degrees(places, "lat", "lon")) if stations.num_rows and places.num_rows else ([], [])
+    one, other = places.select(["lat", "lon"]).take(pa.array(place, pa.int64())), stations.select(["s_lat", "s_lon", "first"]).take(pa.array(station, pa.int64()))
+    return pa.table([*one.columns, *other.columns], [*one.column_names, *other.column_names])
+
+
+def nearest_station(places: DataFrame, stations: DataFrame, max_km: float = 50.0, slice_size: int = STATION_SLICE, place_slice: int = PLACE_SLICE) -> DataFrame:
     """JOI-21: (place_id, station_id, distance_km, no_station); the first station (by ordinal) wins ties.
 
-    Stations come as arrays of ``slice_size`` entries, so no pairs are shuffled: one slice is broadcast; of several, each
-    place meets every slice and keeps the best. ``ordinal`` numbers stations from 0 or 1.
+    Distinct places look distinct stations up in k-d trees of about ``slice_size`` stations, so no pairs are made; what may
+    be nearest is measured exactly. Of several trees, each place meets every one. Coordinates that are null or not finite
+    take no part: such a place has nulls, as all have where no station is left. Without any station there are no rows.
     """
-    entry = F.struct("ordinal", "station_id", "s_lat", "s_lon")
-    sliced = stations.groupBy(F.floor(F.col("ordinal") / slice_size).alias("slice")).agg(F.array_sort(F.collect_list(entry)).alias("stations"))
-    numbers = [r.slice for r in sliced.select("slice").collect()]  # one for each slice
-    each = places.withColumn("slice", F.explode(F.array(*[F.lit(n) for n in numbers]).cast("array<long>")))
-    both = each.join(F.broadcast(sliced) if len(numbers) <= 1 else sliced, "slice")
-    far = F.transform("stations", lambda s: F.struct(haversine_atan2(F.col("lat"), F.col("lon"), s["s_lat"], s["s_lon"]).alias("km"), s["ordinal"].alias("ordinal"), s["station_id"].alias("station_id")))
-    best = both.select("place_id", F.array_min(far).alias("b"))
-    if len(numbers) > 1:
-        best = best.groupBy("place_id").agg(F.min("b").alias("b"))
+    degrees = lambda *names: [F.col(c).cast("double").alias(c) for c in names]
+    finite = lambda c: F.abs(c) < float("inf")
+    there = stations.select("ordinal", "station_id", *degrees("s_lat", "s_lon"))
+    where = there.where(finite("s_lat") & finite("s_lon")).groupBy("s_lat", "s_lon").agg(F.min(F.struct("ordinal", "station_id")).alias("first"))
+    own = places.select("place_id", *degrees("lat", "lon"))
+    once = own.where(finite("lat") & finite("lon")).select("lat", "lon").distinct()
+
+    n = where.count()
+    trees, shares = max(1, -(-n // slice_size)), max(1, -(-once.count() // place_slice))
+    dealt = lambda parts, *names: F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int")
+    left = once.select("lat", "lon", dealt(shares, "lat", "lon").alias("share"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    right = where.select("s_lat", "s_lon", "first", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), dealt(trees, "s_lat", "s_lon").alias("tree"))
+    kind = StructType([*once.schema.fields, *where.schema.fields])
+    near = left.groupBy("share", "tree").cogroup(right.groupBy("share", "tree")).applyInArrow(_nearby, kind)
+
+    far = F.struct(haversine_atan2(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")).alias("km"), "first.ordinal", "first.station_id")
+    found = near.groupBy("lat", "lon").agg(F.min(far).alias("b"))
+    best = own.join(found, ["lat", "lon"], "left").groupBy("place_id").agg(F.min("b").alias("b"))
+    if not n and stations.isEmpty():
+        best = best.where(F.lit(False))
     return best.select("place_id", F.col("b.station_id").alias("station_id"), F.round("b.km", 3).alias("distance_km"), (F.col("b.km") > max_km).alias("no_station"))
 
 

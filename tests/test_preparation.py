@@ -1,8 +1,10 @@
 """Enrichment, stops, series and evaluation against literal results and slow restatements."""
 
 import random
+import time
 from datetime import date, datetime
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +49,56 @@ def test_nearest_station_in_slices(spark):
     assert weather.nearest_station(places, stations.limit(0)).collect() == []
 
 
+def all_pairs_km(lat, lon, s_lat, s_lon):
+    lat, lon, s_lat, s_lon = (np.radians(x) for x in (lat[:, None], lon[:, None], s_lat[None], s_lon[None]))
+    c = np.sin((s_lat - lat) / 2) ** 2 + np.cos(lat) * np.cos(s_lat) * np.sin((s_lon - lon) / 2) ** 2
+    return 2 * 6371.0 * np.arctan2(np.sqrt(c), np.sqrt(np.maximum(1 - c, 0)))
+
+
+def test_nearest_station_of_many(spark):
+    """There are 800 million pairs: time follows places and stations, not their product."""
+    k = F.col("id")
+    places = spark.range(40_000).select(k.alias("place_id"), (k * 0.618034 % 1 * 160 - 80).alias("lat"), (k * 0.414214 % 1 * 360 - 180).alias("lon"))
+    stations = spark.range(20_000).select(k.alias("ordinal"), k.cast("string").alias("station_id"), (k * 0.732051 % 1 * 160 - 80).alias("s_lat"), (k * 0.236068 % 1 * 360 - 180).alias("s_lon"))
+    began = time.time()
+    got = {r.place_id: r for r in weather.nearest_station(places, stations).collect()}
+    assert time.time() - began < 60 and len(got) == 40_000
+    some, there = (np.array([r[-2:] for r in df.collect()]) for df in (places.where("place_id % 100 = 0"), stations))
+    km = all_pairs_km(*some.T, *there.T)
+    assert [got[i * 100].station_id for i in range(400)] == [str(j) for j in km.argmin(axis=1)]
+    assert np.allclose([got[i * 100].distance_km for i in range(400)], km.min(axis=1), atol=6e-4)
+
+
+def test_nearest_station_with_unknown_coordinates(spark):
+    nan, inf = float("nan"), float("inf")
+    places = spark.createDataFrame([(1, 50.0, 4.0), (2, None, 4.0), (3, nan, 4.0), (4, 50.0, inf), (5, 50.0, 4.0), (5, 50.0, 4.0)], "place_id int, lat double, lon double")
+    stations = spark.createDataFrame([(0, "a", None, 4.0), (1, "b", nan, 4.0), (2, "c", 50.0, -inf), (3, "d", 51.0, 4.0), (4, "e", 50.0, 364.1)], "ordinal int, station_id string, s_lat double, s_lon double")
+    for n in (1000, 1):
+        got = sorted(map(tuple, weather.nearest_station(places, stations, slice_size=n, place_slice=n).collect()))
+        assert got == [(1, "e", 7.147, False), (2, None, None, None), (3, None, None, None), (4, None, None, None), (5, "e", 7.147, False)]
+    none = weather.nearest_station(places, stations.where("ordinal < 3")).collect()
+    assert sorted(map(tuple, none)) == [(i, None, None, None) for i in range(1, 6)]
+
+
+@pytest.mark.parametrize("n", [1, 16, 17, 700])
+def test_tree_finds_what_all_pairs_find(n):
+    from perron.operators import kdtree
+
+    rng = np.random.default_rng(n)
+    even = lambda k: (rng.uniform(-90, 90, k), rng.uniform(-180, 180, k))
+    grid = lambda k: (rng.integers(-9, 10, k) * 10.0, rng.integers(-40, 41, k) * 10.0)
+    town = lambda k: (rng.uniform(50, 50.01, k), rng.uniform(4, 4.01, k))
+    odd = lambda k: (rng.uniform(-90, 90, k), np.where(rng.random(k) < 0.1, 1e12, rng.uniform(-1e5, 1e5, k)))
+    for of in (even, grid, town, odd):
+        for places in (even(200), grid(200)):
+            stations = of(n)
+            km = all_pairs_km(*places, *stations)
+            want = set(zip(*(x.tolist() for x in np.nonzero(km == km.min(axis=1)[:, None]))))
+            found = kdtree.Tree(*stations).nearest(*places)
+            assert want <= set(zip(*(x.tolist() for x in found)))
+            assert of is grid or len(found[0]) < 1.1 * len(want) + 10
+
+
 def test_enrichment_of_one_row(spark):
     row = {"PTCAR_NO": " 7 ", "gare_arrivee": "9", "DATDEP": "05JAN2024", "REAL_TIME_DEP": "0730", "REAL_DATE_ARR": "2024-01-05", "REAL_TIME_ARR": "09:10", "temp_depart": "old"}
     df = spark.createDataFrame([row, row | {"PTCAR_NO": "", "gare_arrivee": "", "DATDEP": "soon", "REAL_DATE_ARR": ""}])
