@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import itertools
 import os
 import tempfile
 import uuid
@@ -50,6 +51,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def written_by_tasks(df: DataFrame, task: Callable[[Iterator], Iterator], schema: str, name: str) -> DataFrame:
+    """``written(df.mapInArrow(task, schema), name)``, with Parquet files that the Python workers write.
+
+    For each file of a local folder Spark's writer lets the executor's JVM start several processes (``chmod``). Until
+    such a child runs its own program it shares the JVM's memory, so an executor looks twice as large as it is.
+    Files appear by rename; a task without rows writes none.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    make_dirs(spark, path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        found = task(batches)
+        first = next(found, None)
+        if first is None:
+            return
+        rows, held, size = 0, [], 0
+        with atomic_output(f"{path}/part-{TaskContext.get().partitionId():06d}.parquet") as out, pq.ParquetWriter(out, first.schema) as w:
+            for batch in itertools.chain([first], found):
+                held.append(batch)
+                rows, size = rows + batch.num_rows, size + batch.nbytes
+                if size >= 8 << 20:
+                    w.write_table(pa.Table.from_batches(held))
+                    held, size = [], 0
+            if held:
+                w.write_table(pa.Table.from_batches(held))
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
+
+    df.mapInArrow(tidy(write), "rows long").collect()
+    table = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
+    table._perron_path = path
+    return table
+
+
 def discard(spark: SparkSession, *items: DataFrame | str | None) -> None:
     """Delete tables made by ``written`` (or folders) that no later read needs."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -4,10 +4,14 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -265,6 +269,51 @@ def test_token_counts(odd_docs, clashing_docs, no_docs):
     assert tokencount.count_documents(no_docs).collect() == []
 
 
+def test_token_count_tables_are_written_by_tasks(odd_docs):
+    """Spark's writer would start processes for each file, which share the executor's memory while they start."""
+    counts = tokencount.count_documents(odd_docs, block_tokens=997)
+    folders = {Path(f.removeprefix("file:")).parent for f in counts.inputFiles()}
+    assert len(folders) == 1 and {p.suffix for f in folders for p in f.iterdir()} == {".parquet"}
+    assert not re.search("Sort(Merge|Shuffle)|ShuffledHash", counts._jdf.queryExecution().executedPlan().toString())
+
+
+def test_document_ids_by_place(spark, tmp_path):
+    """Across row groups and files, in any order; places beyond a file's notes are an error."""
+    ids = {"a": [7, None, 7, *range(100, 130)], "b": [None]}
+    for name, of in ids.items():
+        pq.write_table(pa.table({"doc_id": pa.array(of, pa.int64())}), tmp_path / f"{name}.parquet", row_group_size=4)
+    notes = tokencount.Notes(str(tmp_path))
+    for name, places in (("a", [0, 1, 2]), ("a", [3, 4]), ("b", [0]), ("a", [32, 0, 9, 9]), ("a", [32])):
+        assert notes.ids(f"{name}.bin", np.array(places)).to_pylist() == [ids[name][k] for k in places]
+    with pytest.raises(pa.ArrowInvalid):
+        notes.ids("a.bin", np.array([33]))
+
+
+def test_token_counts_beyond_the_broadcast(clashing_docs, monkeypatch):
+    want = sorted(map(tuple, tokencount.count_documents(clashing_docs, block_tokens=997).drop("file").collect()))
+    monkeypatch.setattr(tokencount, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, tokencount.count_documents(clashing_docs, block_tokens=997).drop("file").collect())) == want
+
+
+def test_tables_written_by_tasks_are_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "fresh_path", lambda _, name: f"{tmp_path}/{name}")
+    rows = [(None, [])] + [(k, [k, None, -k]) for k in range(3_000)]
+    schema, df = "id long, x array<long>", spark.createDataFrame(rows, "id long, x array<long>").repartition(3)
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/part-000000.parquet.7-lost.tmp").write_bytes(b"of a lost attempt")
+    big = shared.written_by_tasks(df, lambda batches: (b.slice(i, 7) for b in batches for i in range(0, b.num_rows, 7)), schema, "t")
+    assert sorted(map(tuple, big.collect()), key=str) == sorted(rows, key=str)
+
+    def fails(batches):
+        yield next(batches)
+        raise ValueError("no table")
+
+    with pytest.raises(PythonException, match="no table"):
+        shared.written_by_tasks(df, fails, schema, "f")
+    assert not list((tmp_path / "f").iterdir())
+    assert shared.written_by_tasks(df.where("id < 0"), lambda batches: (b for b in batches if b.num_rows), schema, "e").collect() == []
+
+
 def test_separator_scan_of_foreign_files(spark, tmp_path):
     end = tk.END_OF_TEXT
     files = {"a.bin": [1, 2, end, end, 5, 6, 7], "b.bin": [], "c.bin": [end], "d.bin": [9] * 25, "e.bin": [*[3] * 10, end]}
